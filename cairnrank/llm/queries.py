@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from cairnrank.llm.exact_dedup import OP9_SQL, op9_exact_dedup
+from cairnrank.llm.near_dedup import OP4_SQL, op4_near_dedup
 
 QUERIES = {
+    "op4_near_dedup": op4_near_dedup,
     "op9_exact_dedup": op9_exact_dedup,
 }
 ORACLE_SQL = {
+    "op4_near_dedup": OP4_SQL,
     "op9_exact_dedup": OP9_SQL,
 }
