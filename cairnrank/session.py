@@ -9,6 +9,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of whole texts in an Arrow batch, at most: they are large, and each task holds a few batches.
+BATCH_ROWS = 1000
 REPO = str(Path(__file__).resolve().parent.parent)
 
 
@@ -18,6 +20,9 @@ def ship(spark: SparkSession) -> SparkSession:
     parts = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep)
     if REPO not in parts:
         env["PYTHONPATH"] = os.pathsep.join([REPO, *filter(None, parts)])
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(batch)) > BATCH_ROWS:
+        spark.conf.set(batch, BATCH_ROWS)
     return spark
 
 
