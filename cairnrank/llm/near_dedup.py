@@ -192,7 +192,7 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.
         yield t, numbered(t)
 
 
-def _pairs(group: np.ndarray, most: int = 20_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _pairs(group: np.ndarray, most: int = 8_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs i < j of the same group, in slabs."""
     a, b, held = [], [], 0
     for d in range(1, len(group)):
