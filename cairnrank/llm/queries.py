@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from cairnrank.llm.exact_dedup import OP9_SQL, op9_exact_dedup
 from cairnrank.llm.near_dedup import OP4_SQL, op4_near_dedup
+from cairnrank.llm.suffix_dedup import op3_suffix_dedup
 
 QUERIES = {
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_near_dedup": op4_near_dedup,
     "op9_exact_dedup": op9_exact_dedup,
 }
