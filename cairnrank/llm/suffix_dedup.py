@@ -230,13 +230,13 @@ def _windows(length: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = T.buffers(batch.column(5))
-            fixed = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
+            low = batch.column(4).to_numpy()
             for k in range(batch.num_rows):
                 p = T.prefix(data[at[k] : at[k + 1]])
                 i = np.arange(len(p) - length)
                 h = T.span_hash(p, i, i + length).view(np.int64)
-                n = len(i)
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.full(n, fixed[c][k])) for c in (0, 1, 2, 3)), pa.array(fixed[4][k] + i), pa.array(h)], names=["anchor", "copies", "doc_id", "mark", "at", "window"])
+                fixed = [batch.column(c).take(pa.array(np.full(len(i), k))) for c in range(4)]
+                yield pa.RecordBatch.from_arrays([*fixed, pa.array(low[k] + i), pa.array(h)], names=["anchor", "copies", "doc_id", "mark", "at", "window"])
 
     return run
 
