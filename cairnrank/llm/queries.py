@@ -5,13 +5,18 @@ from __future__ import annotations
 from cairnrank.llm.exact_dedup import OP9_SQL, op9_exact_dedup
 from cairnrank.llm.near_dedup import OP4_SQL, op4_near_dedup
 from cairnrank.llm.suffix_dedup import op3_suffix_dedup
+from cairnrank.llm.decontaminate import OP8_SQL, op8_decontamination
+from cairnrank.llm.token_output import op6_token_output
 
 QUERIES = {
+    "op6_token_output": op6_token_output,
+    "op8_decontamination": op8_decontamination,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_near_dedup": op4_near_dedup,
     "op9_exact_dedup": op9_exact_dedup,
 }
 ORACLE_SQL = {
+    "op8_decontamination": OP8_SQL,
     "op4_near_dedup": OP4_SQL,
     "op9_exact_dedup": OP9_SQL,
 }

@@ -133,3 +133,75 @@ def shingles(words: np.ndarray, size: int) -> np.ndarray:
 def word_count(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> np.ndarray:
     """Words of each row."""
     return np.diff(word_spans(data, offsets, inside)[2])
+
+
+def split_spans(data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word spans as of ``word_spans``, cut between bytes of kinds 1 and 2 also. Kind 0 separates; 3 joins anything."""
+    if not len(data):
+        return word_spans(data, offsets, kinds > 0)
+    kind = kinds[data]
+    w = kind > 0
+    first = w.copy()
+    first[1:] &= ~w[:-1] | (kind[1:] + kind[:-1] == 3) & w[:-1]  # 1 beside 2, as 3 beside 0 starts a word anyway
+    full = offsets[1:] > offsets[:-1]
+    edge = offsets[:-1][full]
+    first[edge] = w[edge]
+    last = w.copy()
+    last[:-1] &= ~w[1:] | first[1:]
+    edge = offsets[1:][full] - 1
+    last[edge] = w[edge]
+    starts = np.flatnonzero(first)
+    return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
+
+
+class WordTable:
+    """Rows of numbers by word, computed once for each distinct word and kept while there is room.
+
+    ``compute`` takes a list of distinct words (bytes) and returns an array of a row each. When the table is full, words
+    that only one block has used since the last time go; that changes no result.
+    """
+
+    def __init__(self, compute, width: int, dtype, most: int = 400_000):
+        self.compute, self.most = compute, most
+        self.index: dict[bytes, int] = {}
+        self.rows, self.uses = np.zeros((1024, width), dtype), np.zeros(1024, np.int64)
+
+    def _shrink(self) -> None:
+        n = len(self.index)
+        keep = self.uses[:n] > 1
+        if keep.sum() > self.most // 2:
+            keep = self.uses[:n] > np.partition(self.uses[:n], -(self.most // 2))[-(self.most // 2)]
+        old = np.flatnonzero(keep)
+        flags = keep.tolist()
+        self.index = {w: k for k, w in enumerate(w for w, i in self.index.items() if flags[i])}
+        self.rows[: len(old)], self.uses[: len(old)] = self.rows[old], 0
+
+    def look_up(self, words: list[bytes]) -> np.ndarray:
+        """Row numbers of distinct words."""
+        if len(self.index) > self.most:
+            self._shrink()
+        at = np.fromiter((self.index.get(w, -1) for w in words), np.int64, len(words))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            new = [words[i] for i in missing.tolist()]
+            n = len(self.index)
+            if n + len(new) > len(self.rows):
+                size = max(2 * len(self.rows), n + len(new))
+                self.rows, old = np.zeros((size, self.rows.shape[1]), self.rows.dtype), self.rows
+                self.rows[: len(old)] = old
+                self.uses = np.concatenate([self.uses, np.zeros(size - len(self.uses), np.int64)])
+            self.rows[n : n + len(new)] = self.compute(new)
+            self.uses[n : n + len(new)] = 0
+            self.index.update(zip(new, range(n, n + len(new)), strict=True))
+            at[missing] = np.arange(n, n + len(new))
+        self.uses[at] += 1
+        return at
+
+    def of(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """A row number for each word span of a block."""
+        if not len(starts):
+            return np.zeros(0, np.int64)
+        _, first, inverse = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        raw = data.tobytes()
+        words = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        return self.look_up(words)[inverse]
