@@ -12,7 +12,8 @@ Work in a bucket is kept from growing with its square:
 2. buckets with the same members become one; a pair counts only in its first common band;
 3. a bucket is dealt into chunks; each chunk sends on a spanning forest of its likely pairs, which is confirmed, and
    confirmed links are joined into components;
-4. only where a bucket still holds several components are its remaining pairs across them compared, chunk by chunk.
+4. only where a bucket still holds several components are its likely pairs across them confirmed, chunk by chunk, each
+   chunk sending on links that join components and no others.
 
 So no link between different components is lost, and none within one is needed. Defined cases: no words or null text:
 the empty set, linked with nothing; fewer words than a shingle: all of them as one shingle; rows with the same doc_id
@@ -209,45 +210,89 @@ def _pairs(group: np.ndarray, most: int = 8_000) -> Iterator[tuple[np.ndarray, n
         yield np.concatenate(a), np.concatenate(b)
 
 
-def _sift(m: int, rows: int, least: float, forest: bool) -> Callable:
-    """Likely pairs of each group of rows (key, c, s, band, side, label, rep, cid, n, regs).
+def _candidates(table: pa.Table, group: np.ndarray, m: int, rows: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Likely pairs of each group of rows (.., band, side, label, .., n, regs): two row numbers and a similarity.
 
     Pairs of the same label or of the same side (if the group has two), and pairs with an earlier common band, are none.
-    ``forest``: of these, a spanning forest by greatest likely similarity.
     """
+    band, side, label, n = (table.column(c).to_numpy() for c in ("band", "side", "label", "n"))
+    regs = _matrix(table.column("regs"), m)
+    two = np.zeros(group[-1] + 1, bool)
+    two[group[side > 0]] = True
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for i, j in _pairs(group):
+        go = (label[i] != label[j]) & ((side[i] != side[j]) | ~two[group[i]])
+        i, j = i[go], j[go]
+        x, y = regs[i], regs[j]
+        go = ((x == y).reshape(len(i), -1, rows).all(axis=2)).argmax(axis=1) == band[i]
+        i, j = i[go], j[go]
+        ok, best = likely(x[go], y[go], n[i], n[j], least)
+        found.append((i[ok], j[ok], best[ok]))
+    i, j, best = (np.concatenate(x) for x in zip(*found, strict=True))
+    return i, j, best
+
+
+class _Union:
+    """Union-find over any values."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        up = self.up
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.find(x), self.find(y)
+        self.up[x] = y
+        return x != y
+
+
+def _forest(m: int, rows: int, least: float) -> Callable:
+    """Of the likely pairs of each group of rows (key, c, s, ...), a spanning forest by greatest likely similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, group in _grouped(batches, 3):
-            col = {c: table.column(c).to_numpy() for c in ("band", "side", "label", "rep", "cid", "n")}
-            regs = _matrix(table.column("regs"), m)
-            two = np.zeros(group[-1] + 1, bool)
-            two[group[col["side"] > 0]] = True
-            found = []
-            for i, j in _pairs(group):
-                go = (col["label"][i] != col["label"][j]) & ((col["side"][i] != col["side"][j]) | ~two[group[i]])
-                i, j = i[go], j[go]
-                x, y = regs[i], regs[j]
-                go = ((x == y).reshape(len(i), -1, rows).all(axis=2)).argmax(axis=1) == col["band"][i]
-                i, j = i[go], j[go]
-                ok, best = likely(x[go], y[go], col["n"][i], col["n"][j], least)
-                found.append((i[ok], j[ok], best[ok]))
-            if not found:
-                continue
-            i, j, best = (np.concatenate(x) for x in zip(*found, strict=True))
-            if forest and len(i):
-                up = list(range(len(group)))
-                keep = []
-                for k in np.argsort(-best, kind="stable").tolist():
-                    x, y = int(i[k]), int(j[k])
-                    while up[x] != x:
-                        up[x] = x = up[up[x]]
-                    while up[y] != y:
-                        up[y] = y = up[up[y]]
-                    if x != y:
-                        up[x] = y
-                        keep.append(k)
-                i, j = i[keep], j[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(col[c][k]) for k in (i, j) for c in ("rep", "cid")], names=["a", "ca", "b", "cb"])
+            i, j, best = _candidates(table, group, m, rows, least)
+            tree, keep = _Union(), []
+            for k in np.argsort(-best, kind="stable").tolist():
+                if tree.join(int(i[k]), int(j[k])):
+                    keep.append(k)
+            yield pa.RecordBatch.from_arrays([table.column(c).combine_chunks().take(pa.array(k[keep])) for k in (i, j) for c in ("rep", "cid")], names=["a", "ca", "b", "cb"])
+
+    return run
+
+
+def _settled(m: int, rows: int, least: float, percent: int) -> Callable:
+    """Confirmed links between labels within each group of rows (key, c, s, .., items), as many as join what can be."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, group in _grouped(batches, 3):
+            i, j, _ = _candidates(table, group, m, rows, least)
+            label, rep = table.column("label").to_numpy(), table.column("rep").to_numpy()
+            data, at = T.buffers(table.column("items"))
+            sets = [data[at[k] : at[k + 1]].view(np.uint64) for k in range(len(table))]
+            joined, out = _Union(), []
+            order = np.lexsort((j, i))
+            i, j = i[order], j[order]
+            for first in np.flatnonzero(np.diff(i, prepend=-1)).tolist():
+                x = int(i[first])
+                own = sets[x]
+                others = j[first : np.searchsorted(i, x, "right")]
+                others = [y for y in others.tolist() if joined.find(int(label[y])) != joined.find(int(label[x]))]
+                if not others:
+                    continue
+                size = np.array([len(sets[y]) for y in others])
+                flat = np.concatenate([sets[y] for y in others])
+                place = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+                common = np.add.reduceat((own[place] == flat).astype(np.int64), np.cumsum(size) - size)
+                for k in np.flatnonzero(100 * common >= percent * (len(own) + size - common)).tolist():
+                    if joined.join(int(label[x]), int(label[others[k]])):
+                        out.append((x, others[k]))
+            pick = np.array(out, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(rep[pick[:, 0]]), pa.array(rep[pick[:, 1]])], names=["a", "b"])
 
     return run
 
@@ -275,8 +320,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketched = staged(texts.mapInArrow(_sketched(shingle, m), _SKETCHED), "sketches")
     total = sketched.count()
-    classes = sketched.filter("n > 0 and doc_id is not null").groupBy("sig")
-    classes = staged(classes.agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("regs").alias("regs")), "classes")
+    classes = sketched.filter("n > 0").groupBy("sig")
+    classes = staged(classes.agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("regs").alias("regs")).filter("rep is not null"), "classes")
     classes = classes.mapInArrow(_with_cid, "sig binary, rep bigint, size bigint, n bigint, regs binary, cid bigint")
     # buckets with two members or more, those with the same members once, by their first band
     banded = staged(classes.select("rep", "cid", "regs").mapInArrow(_banded(bands, rows), "key bigint, band int, rep bigint, cid bigint"), "bands")
@@ -288,43 +333,36 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     members = members.withColumn("c", F.pmod(F.xxhash64("rep", "cid", "key"), F.col("chunks")).cast("int"))
     members = staged(members, "members")
 
-    def sifted(dealt: DataFrame, forest: bool) -> DataFrame:
-        dealt = dealt.select("key", "c", "s", "band", "side", "label", "rep", "cid", "n", "regs")
-        dealt = dealt.repartition("key", "c", "s").sortWithinPartitions("key", "c", "s")
-        pairs = dealt.mapInArrow(_sift(m, rows, least, forest), "a bigint, ca bigint, b bigint, cb bigint")
-        return staged(pairs, "pairs")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        """The pairs that full sets confirm."""
-        need = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-        few = need.count() <= MOST_IDS
-        there = texts.withColumnRenamed("doc_id", "rep").join(F.broadcast(need) if few else need, "rep", "left_semi")
-        items = staged(there.mapInArrow(_sets(shingle), "rep bigint, cid bigint, items binary").dropDuplicates(["rep", "cid"]), "items")
-        side = lambda x, y: items.select(F.col("rep").alias(x), F.col("cid").alias(f"c{x}"), F.col("items").alias(y))
-        full = pairs.join(side("a", "one"), ["a", "ca"]).join(side("b", "two"), ["b", "cb"])
-        return staged(full.select("a", "b", "one", "two").mapInArrow(_confirmed(percent), "a bigint, b bigint"), "links")
-
-    first = sifted(members.withColumns({"s": F.lit(0), "side": F.lit(0), "label": F.xxhash64("rep", "cid")}), True)
-    links = linked(first)
+    def dealt(rows_: DataFrame, *more: str) -> DataFrame:
+        rows_ = rows_.select("key", "c", "s", "band", "side", "label", "rep", "cid", "n", "regs", *more)
+        return rows_.repartition("key", "c", "s").sortWithinPartitions("key", "c", "s")
+
+    # full sets of the members
+    need = staged(members.select("rep").distinct(), "need")
+    there = texts.withColumnRenamed("doc_id", "rep").join(F.broadcast(need) if need.count() <= MOST_IDS else need, "rep", "left_semi")
+    items = staged(there.mapInArrow(_sets(shingle), "rep bigint, cid bigint, items binary").dropDuplicates(["rep", "cid"]), "items")
+    first = members.withColumns({"s": F.lit(0), "side": F.lit(0), "label": F.xxhash64("rep", "cid")})
+    first = staged(dealt(first).mapInArrow(_forest(m, rows, least), "a bigint, ca bigint, b bigint, cb bigint").distinct(), "pairs")
+    side = lambda x, y: items.select(F.col("rep").alias(x), F.col("cid").alias(f"c{x}"), F.col("items").alias(y))
+    full = first.join(side("a", "one"), ["a", "ca"]).join(side("b", "two"), ["b", "cb"])
+    links = staged(full.select("a", "b", "one", "two").mapInArrow(_confirmed(percent), "a bigint, b bigint"), "links")
     label = components(links)
     # what is left: pairs across components, in buckets that hold several
     named = members.join(label.select(F.col("node").alias("rep"), F.col("component").alias("label")), "rep", "left")
     named = named.withColumn("label", F.coalesce("label", "rep")).filter("k > 2")
     parts = named.groupBy("key", "band", "label").count()
     parts = parts.groupBy("key", "band").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("parts"), (F.sum("count") - F.max("count")).alias("others"))
-    mixed = named.join(parts.filter("parts > 1"), ["key", "band"])
+    mixed = named.join(parts.filter("parts > 1"), ["key", "band"]).join(items, ["rep", "cid"])
     stray = F.ceil(F.col("others") / CHUNK).cast("int")
     small = mixed.filter("chunks = 1").withColumns({"s": F.lit(0), "side": F.lit(0)})
     large = mixed.filter("chunks > 1")
     homes = large.withColumns({"s": F.explode(F.sequence(F.lit(0), stray - 1)), "side": F.lit(0)})
     strays = large.filter("label != main").withColumn("s", F.pmod(F.xxhash64("cid", "rep", "key"), stray).cast("int"))
     strays = strays.withColumns({"c": F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)), "side": F.lit(1)})
-    rest = sifted(small.unionByName(homes).unionByName(strays), False)
-    rest = rest.select(F.least("a", "b").alias("a"), F.when(F.col("a") < F.col("b"), F.col("ca")).otherwise(F.col("cb")).alias("ca"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("cb")).otherwise(F.col("ca")).alias("cb"))
-    done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = staged(rest.distinct().join(done, ["a", "b"], "left_anti"), "rest")
+    rest = dealt(small.unionByName(homes).unionByName(strays), "items")
+    rest = staged(rest.mapInArrow(_settled(m, rows, least, percent), "a bigint, b bigint"), "rest")
     if not rest.isEmpty():
-        label = components(links.unionByName(linked(rest)))
+        label = components(links.unionByName(rest))
     named = classes.select("sig", "rep", "size").join(label.withColumnRenamed("node", "rep"), "rep", "left").filter("size > 1 or component is not null")
     named = staged(named.select("sig", "size", F.coalesce("component", "rep").alias("component_id")), "named")
     out = join_groups(sketched.select("doc_id", "n", "sig"), named, ["sig"], "size", total, "left")

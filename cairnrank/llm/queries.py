@@ -7,8 +7,12 @@ from cairnrank.llm.near_dedup import OP4_SQL, op4_near_dedup
 from cairnrank.llm.suffix_dedup import op3_suffix_dedup
 from cairnrank.llm.decontaminate import OP8_SQL, op8_decontamination
 from cairnrank.llm.token_output import op6_token_output
+from cairnrank.llm.mixing import op5_mixing
+from cairnrank.llm.token_counts import op2_token_counts
 
 QUERIES = {
+    "op2_token_counts": op2_token_counts,
+    "op5_mixing": op5_mixing,
     "op6_token_output": op6_token_output,
     "op8_decontamination": op8_decontamination,
     "op3_suffix_dedup": op3_suffix_dedup,
