@@ -224,7 +224,7 @@ def _candidates(table: pa.Table, group: np.ndarray, m: int, rows: int, least: fl
         go = (label[i] != label[j]) & ((side[i] != side[j]) | ~two[group[i]])
         i, j = i[go], j[go]
         x, y = regs[i], regs[j]
-        go = ((x == y).reshape(len(i), -1, rows).all(axis=2)).argmax(axis=1) == band[i]
+        go = (x == y).reshape(len(i), m // rows, rows).all(axis=2).argmax(axis=1) == band[i]
         i, j = i[go], j[go]
         ok, best = likely(x[go], y[go], n[i], n[j], least)
         found.append((i[ok], j[ok], best[ok]))

@@ -76,3 +76,11 @@ def test_without(spark, docs):
     dropped = spark.createDataFrame([(2,)], "doc_id bigint")
     left = N.without(docs([(1, "a"), (2, "b"), (None, "c")]), dropped).collect()
     assert {r["doc_id"] for r in left} == {1, None}
+
+
+def test_group_without_pairs():
+    """A group in which every pair has one label has no candidates."""
+    regs = N.pa.array([np.zeros(10, np.uint16).tobytes()] * 3, N.pa.binary())
+    cols = {c: N.pa.array([0, 0, 0], N.pa.int64()) for c in ("key", "c", "s", "band", "side", "label", "rep", "cid", "n")}
+    i, j, best = N._candidates(N.pa.table({**cols, "regs": regs}), np.zeros(3, np.int64), 10, 5, 0.8)
+    assert len(i) == len(j) == len(best) == 0
