@@ -9,8 +9,10 @@ from cairnrank.llm.decontaminate import OP8_SQL, op8_decontamination
 from cairnrank.llm.token_output import op6_token_output
 from cairnrank.llm.mixing import op5_mixing
 from cairnrank.llm.token_counts import op2_token_counts
+from cairnrank.llm.language_id import op7_language_id
 
 QUERIES = {
+    "op7_language_id": op7_language_id,
     "op2_token_counts": op2_token_counts,
     "op5_mixing": op5_mixing,
     "op6_token_output": op6_token_output,
