@@ -31,7 +31,7 @@ from cairnrank.session import ship, staged
 
 WEIGHTS = (5, 2, 1)
 #: Rows of a bucket of a source's order, on average; slots of a shard, at least; cells of the table of draws, at most.
-BUCKET, SHARD, CELLS = 20_000, 4096, 4_000_000
+BUCKET, SHARD, CELLS = 4_000, 4096, 4_000_000
 ROUNDS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89)
 _U = np.uint64
 
@@ -136,7 +136,8 @@ def mix(docs: DataFrame, block: int = 64, most: int = 3, seed: int = 5, id_col:
     low = F.greatest(F.col("at"), begin(F.col("block")))
     high = F.least(F.col("at") + F.col("size"), begin(F.col("block") + 1))
     parts = parts.select("number", "block", "row", (low - F.col("at")).alias("first"), (high - low).alias("words"))
-    pieces = taken.join(parts, ["number", "block"]).select("shard", "slot", "turn", "row", "first", "words")
+    # slots look small to the planner, as they come of few cells: they must not be broadcast
+    pieces = taken.join(parts.hint("shuffle_merge"), ["number", "block"]).select("shard", "slot", "turn", "row", "first", "words")
     return texts.select("row", "doc_id", "mark", "source", "size", "source_size", "target"), pieces
 
 
@@ -172,7 +173,7 @@ def mixed_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     """The mix as rows like those of ``docs``: for each text and turn one, with the words that are taken in that turn."""
     texts, pieces = mix(docs, id_col=id_col, text_col=text_col, **how)
     lists = pieces.groupBy("row").agg(F.collect_list(F.struct("turn", "first", "words")).alias("taken"))
-    lists = texts.select("row", "doc_id", "mark").join(lists, "row").select("doc_id", "mark", F.transform("taken", lambda t: F.struct(F.col("row").alias("row"), t["turn"].alias("turn"), t["first"].alias("first"), t["words"].alias("words"))).alias("taken"))
+    lists = texts.select("row", "doc_id", "mark").join(lists.hint("shuffle_merge"), "row").select("doc_id", "mark", F.transform("taken", lambda t: F.struct(F.col("row").alias("row"), t["turn"].alias("turn"), t["first"].alias("first"), t["words"].alias("words"))).alias("taken"))
     # rows that repeat an id and its text stand once, with the pieces of all
     lists = lists.groupBy("doc_id", "mark").agg(F.flatten(F.collect_list("taken")).alias("_taken"), F.count("*").alias("_rows"))
     lists = staged(lists.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "_taken", "_rows"), "taken")
@@ -187,5 +188,5 @@ def mixed_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
     texts, pieces = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     taken = pieces.groupBy("row").agg(F.sum("words").alias("taken"))
-    out = texts.join(taken, "row", "left")
+    out = texts.join(taken.hint("shuffle_merge"), "row", "left")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
