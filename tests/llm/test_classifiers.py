@@ -20,7 +20,7 @@ def test_nearest_examples_are_exact():
     rng = random.Random(8)
     words = [f"w{k}" for k in range(40)]
     rows = []
-    for k in range(400):
+    for k in range(1500):
         y = rng.random() < 0.3
         rows.append((k, " ".join(rng.choices(words[25 if y else 0 :], k=rng.randint(0, 12))), int(y)))
     index = X.Index(rows, 0.3)
@@ -29,12 +29,12 @@ def test_nearest_examples_are_exact():
     for k, r in enumerate(rows):
         t, x = index.vector(X.Counter(X.terms_of(r[1].encode())))
         vectors[k, t] = x
-    for k in range(0, 400, 7):
+    for k in range(0, 1500, 17):
         t, x = index.vector(X.Counter(X.terms_of(rows[k][1].encode())))
         near, score = index.nearest(t, x, k)
         value = np.round(vectors @ vectors[k], 12)
         value[k] = 0
-        want = np.lexsort((np.arange(400), -value))[: X.NEAREST]
+        want = np.lexsort((np.arange(1500), -value))[: X.NEAREST]
         want = want[value[want] > 0]
         assert near.tolist() == want.tolist() and np.allclose(score, value[want])
 
