@@ -17,6 +17,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -191,7 +192,7 @@ def hit_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: s
     return out
 
 
-def _cleaned(shared, at: int, longest: int, coverage: float) -> Callable:
+def _cleaned(shared, at: int, chars: int | None, longest: int, coverage: float) -> Callable:
     """Batches whose texts (column ``at``) are cut, without rows that are mostly benchmark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,16 +215,22 @@ def _cleaned(shared, at: int, longest: int, coverage: float) -> Callable:
                     texts[k] = b"".join([*left, x[last:]])
             cols = list(batch.columns)
             cols[at] = pa.array(texts, pa.binary()).cast(batch.schema.field(at).type)
+            if chars is not None and cols[at] != batch.column(at):
+                cols[chars] = pc.utf8_length(cols[at]).cast(cols[chars].type)
             yield pa.RecordBatch.from_arrays(cols, schema=batch.schema).filter(pa.array(keep))
 
     return run
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, longest: int = 0, coverage: float = 0.5, text_col: str = "text", most_words: int = MOST_WORDS) -> DataFrame:
-    """``docs`` without runs of over ``longest`` hit words, and without rows of which these are over ``coverage``."""
+    """``docs`` without runs of over ``longest`` hit words, and without rows of which these are over ``coverage``.
+
+    A column ``n_chars`` follows the texts that are cut.
+    """
     spark = ship(docs.sparkSession)
+    chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
     for auto in automata(benchmark, window, most_words=most_words):
-        docs = docs.mapInArrow(_cleaned(spark.sparkContext.broadcast(auto), docs.columns.index(text_col), longest, coverage), docs.schema)
+        docs = docs.mapInArrow(_cleaned(spark.sparkContext.broadcast(auto), docs.columns.index(text_col), chars, longest, coverage), docs.schema)
     return docs
 
 
