@@ -12,8 +12,8 @@ Work in a bucket is kept from growing with its square:
 2. buckets with the same members become one; a pair counts only in its first common band;
 3. a bucket is dealt into chunks; each chunk sends on a spanning forest of its likely pairs, which is confirmed, and
    confirmed links are joined into components;
-4. only where a bucket still holds several components are its likely pairs across them confirmed, chunk by chunk, each
-   chunk sending on links that join components and no others.
+4. only where a bucket still holds several components are its likely pairs across them confirmed, chunk by chunk: the
+   documents in such pairs are fetched, and each chunk sends on links that join components and no others.
 
 So no link between different components is lost, and none within one is needed. Defined cases: no words or null text:
 the empty set, linked with nothing; fewer words than a shingle: all of them as one shingle; rows with the same doc_id
@@ -265,6 +265,17 @@ def _forest(m: int, rows: int, least: float) -> Callable:
     return run
 
 
+def _involved(m: int, rows: int, least: float) -> Callable:
+    """Of each group of rows (key, c, s, ...), those that are in a likely pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, group in _grouped(batches, 3):
+            i, j, _ = _candidates(table, group, m, rows, least)
+            yield from table.take(pa.array(np.union1d(i, j))).to_batches()
+
+    return run
+
+
 def _settled(m: int, rows: int, least: float, percent: int) -> Callable:
     """Confirmed links between labels within each group of rows (key, c, s, .., items), as many as join what can be."""
 
@@ -328,6 +339,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     buckets = banded.groupBy("key", "band").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("rep", "cid")).alias("x"), F.bit_xor(F.xxhash64("cid", "rep")).alias("y"))
     buckets = buckets.filter("k > 1").groupBy("k", "x", "y").agg(F.min(F.struct("band", "key")).alias("first"))
     buckets = staged(buckets.select(F.col("first.key").alias("key"), F.col("first.band").alias("band"), "k", F.ceil(F.col("k") / CHUNK).cast("int").alias("chunks")), "buckets")
+    if buckets.count() <= MOST_IDS:  # spares most rows the shuffle
+        banded = banded.join(F.broadcast(buckets.select("key")), "key", "left_semi")
     members = join_groups(banded, buckets, ["key", "band"], "k", total * bands)
     members = members.join(classes.select("rep", "cid", "n", "regs"), ["rep", "cid"])
     members = members.withColumn("c", F.pmod(F.xxhash64("rep", "cid", "key"), F.col("chunks")).cast("int"))
@@ -337,12 +350,15 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         rows_ = rows_.select("key", "c", "s", "band", "side", "label", "rep", "cid", "n", "regs", *more)
         return rows_.repartition("key", "c", "s").sortWithinPartitions("key", "c", "s")
 
-    # full sets of the members
-    need = staged(members.select("rep").distinct(), "need")
-    there = texts.withColumnRenamed("doc_id", "rep").join(F.broadcast(need) if need.count() <= MOST_IDS else need, "rep", "left_semi")
-    items = staged(there.mapInArrow(_sets(shingle), "rep bigint, cid bigint, items binary").dropDuplicates(["rep", "cid"]), "items")
+    def sets(need: DataFrame) -> DataFrame:
+        """Full sets of the documents with the ids in ``need``."""
+        need = staged(need.distinct(), "need")
+        there = texts.withColumnRenamed("doc_id", "rep").join(F.broadcast(need) if need.count() <= MOST_IDS else need, "rep", "left_semi")
+        return staged(there.mapInArrow(_sets(shingle), "rep bigint, cid bigint, items binary").dropDuplicates(["rep", "cid"]), "items")
+
     first = members.withColumns({"s": F.lit(0), "side": F.lit(0), "label": F.xxhash64("rep", "cid")})
     first = staged(dealt(first).mapInArrow(_forest(m, rows, least), "a bigint, ca bigint, b bigint, cb bigint").distinct(), "pairs")
+    items = sets(first.select(F.col("a").alias("rep")).union(first.select("b")))
     side = lambda x, y: items.select(F.col("rep").alias(x), F.col("cid").alias(f"c{x}"), F.col("items").alias(y))
     full = first.join(side("a", "one"), ["a", "ca"]).join(side("b", "two"), ["b", "cb"])
     links = staged(full.select("a", "b", "one", "two").mapInArrow(_confirmed(percent), "a bigint, b bigint"), "links")
@@ -352,14 +368,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = named.withColumn("label", F.coalesce("label", "rep")).filter("k > 2")
     parts = named.groupBy("key", "band", "label").count()
     parts = parts.groupBy("key", "band").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("parts"), (F.sum("count") - F.max("count")).alias("others"))
-    mixed = named.join(parts.filter("parts > 1"), ["key", "band"]).join(items, ["rep", "cid"])
+    mixed = named.join(parts.filter("parts > 1"), ["key", "band"])
     stray = F.ceil(F.col("others") / CHUNK).cast("int")
     small = mixed.filter("chunks = 1").withColumns({"s": F.lit(0), "side": F.lit(0)})
     large = mixed.filter("chunks > 1")
     homes = large.withColumns({"s": F.explode(F.sequence(F.lit(0), stray - 1)), "side": F.lit(0)})
     strays = large.filter("label != main").withColumn("s", F.pmod(F.xxhash64("cid", "rep", "key"), stray).cast("int"))
     strays = strays.withColumns({"c": F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)), "side": F.lit(1)})
-    rest = dealt(small.unionByName(homes).unionByName(strays), "items")
+    rest = dealt(small.unionByName(homes).unionByName(strays))
+    rest = staged(rest.mapInArrow(_involved(m, rows, least), rest.schema), "involved")
+    rest = dealt(rest.join(sets(rest.select("rep")), ["rep", "cid"]), "items")
     rest = staged(rest.mapInArrow(_settled(m, rows, least, percent), "a bigint, b bigint"), "rest")
     if not rest.isEmpty():
         label = components(links.unionByName(rest))
