@@ -191,8 +191,8 @@ class Model:
 
 def train(docs: DataFrame, most: int = SAMPLE, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> Model:
     """A model from at most ``most`` texts of each language, none of them held out."""
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    return Model(sample(rows, "lang", most))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    return Model(sample(rows, rows, "lang", most))
 
 
 def _tools(shared) -> tuple[Model, T.WordTable]:

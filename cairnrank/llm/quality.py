@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnrank.llm import text as T
-from cairnrank.llm.training import held_out, labelled, sample
+from cairnrank.llm.training import held_out, sample
 from cairnrank.session import ship
 
 #: Bytes of a chunk and from one to the next; of a filter; bytes from one response to the next.
@@ -141,7 +141,7 @@ class Network:
 
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Network:
     """A network from at most ``most`` texts of each label value, none of them held out."""
-    return Network(sample(labelled(docs, labels, "quality"), "quality", most, values=[0, 1]))
+    return Network(sample(docs, labels, "quality", most, [0, 1]))
 
 
 def _scored(shared) -> Callable:

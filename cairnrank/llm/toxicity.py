@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnrank.llm.decontaminate import words_of
-from cairnrank.llm.training import held_out, labelled, sample
+from cairnrank.llm.training import held_out, sample
 from cairnrank.session import ship
 
 #: Examples of a label value, at most; neighbours; examples of a range; terms of the vocabulary; their least |z|; evidence
@@ -153,9 +153,8 @@ class Index:
 
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Index:
     """An index of at most ``most`` examples of each label value, none of them held out."""
-    rows = labelled(docs, labels, "toxic")
     known = labels.filter(F.col("toxic").isNotNull() & ~held_out()).agg(F.avg(F.col("toxic").cast("double"))).first()[0]
-    return Index(sample(rows, "toxic", most, values=[0, 1]), known or 0.0)
+    return Index(sample(docs, labels, "toxic", most, [0, 1]), known or 0.0)
 
 
 def _scored(shared) -> Callable:

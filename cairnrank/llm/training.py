@@ -11,23 +11,23 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("bigint").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def sample(rows: DataFrame, label: str, most: int, longest: int = 1 << 20, values: list | None = None, text_col: str = "text") -> list[tuple]:
-    """At most ``most`` (doc_id, text, label) of each label value, by hashed order of the id, of texts up to ``longest``.
+def sample(docs: DataFrame, labels: DataFrame, label: str, most: int, values: list | None = None, longest: int = 1 << 20) -> list[tuple]:
+    """At most ``most`` (doc_id, text, label) of each label value: the first by the hashed order of the id, held out rows aside.
 
-    Texts over ``longest`` bytes are left out of training, never cut. ``values``: the label values (found if None).
+    ``labels`` has doc_id and ``label`` and is read without texts; only the drawn ids, at most ``most`` a value, meet
+    ``docs``, by broadcast. Of an id that ``labels`` or ``docs`` repeats, one row counts. Texts over ``longest`` bytes are
+    left out of training, never cut. ``values``: the label values (found if None).
     """
-    rows = rows.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).filter(F.octet_length(F.coalesce(text_col, F.lit(""))) <= longest)
+    known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label).alias("label"))
+    known = known.filter(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     if values is None:
-        values = sorted(r[0] for r in rows.select(label).distinct().collect())
-    out = []
+        values = [r[0] for r in known.select("label").distinct().collect()]
+    ids = None
     for v in values:
-        ids = rows.filter(F.col(label) == v).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-        part = rows.filter(F.col(label) == v).join(F.broadcast(ids), "doc_id").select("doc_id", F.coalesce(text_col, F.lit("")).alias("text"), label)
-        out += [tuple(r) for r in part.dropDuplicates(["doc_id"]).orderBy("doc_id").collect()]
-    return out
-
-
-def labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """doc_id, text, label of the documents that may be learnt from, with a label."""
-    known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label).cast("int").alias(label)).filter(F.col(label).isNotNull() & ~held_out())
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(known.dropDuplicates(["doc_id"]), "doc_id")
+        part = known.filter(F.col("label") == v).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+        ids = part if ids is None else ids.unionByName(part)
+    if ids is None:
+        return []
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = texts.join(F.broadcast(ids), "doc_id").filter(F.octet_length("text") <= longest)
+    return sorted({r["doc_id"]: (r["doc_id"], r["text"], r["label"]) for r in sorted(rows.collect(), key=lambda r: (r["doc_id"], r["text"], str(r["label"])), reverse=True)}.values())
