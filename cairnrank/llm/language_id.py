@@ -29,6 +29,8 @@ from cairnrank.session import ship
 
 #: Texts a language to learn from, at most; nats a switch costs; least share of a language's letters for a script.
 SAMPLE, PENALTY, USED = 800, 14.0, 0.001
+#: Words of a worker's table.
+KEPT = 120_000
 BUCKETS = 1 << 17
 #: First code points of script ranges, and the script from there on. Fixed values.
 SCRIPTS = (
@@ -200,7 +202,7 @@ def _tools(shared) -> tuple[Model, T.WordTable]:
     model: Model = shared.value
     if model.key not in _held:
         _held.clear()
-        _held[model.key] = (model, T.WordTable(model.words, len(model.langs) + 2, np.float32))
+        _held[model.key] = (model, T.WordTable(model.words, len(model.langs) + 2, np.float32, KEPT))
     return _held[model.key]
 
 

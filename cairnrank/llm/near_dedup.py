@@ -138,10 +138,10 @@ def _sets(size: int) -> Callable:
         for batch in batches:
             for i, j, data, offsets in T.blocks(batch.column(1)):
                 flat, at = sets_of(data, offsets, size)
-                cid = signatures(flat, at)[:, 0].view(np.int64)
+                sig = [x.tobytes() for x in signatures(flat, at)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[i:j], pa.array(cid), pa.array([flat[at[k] : at[k + 1]].tobytes() for k in range(j - i)], pa.binary())],
-                    names=["rep", "cid", "items"],
+                    [batch.column(0)[i:j], pa.array(sig, pa.binary()), pa.array([flat[at[k] : at[k + 1]].tobytes() for k in range(j - i)], pa.binary())],
+                    names=["rep", "sig", "items"],
                 )
 
     return run
@@ -333,7 +333,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     total = sketched.count()
     classes = sketched.filter("n > 0").groupBy("sig")
     classes = staged(classes.agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("regs").alias("regs")).filter("rep is not null"), "classes")
-    classes = classes.mapInArrow(_with_cid, "sig binary, rep bigint, size bigint, n bigint, regs binary, cid bigint")
+    classes = classes.withColumn("cid", F.xxhash64("sig"))  # tells apart the sets of rows that share an id
     # buckets with two members or more, those with the same members once, by their first band
     banded = staged(classes.select("rep", "cid", "regs").mapInArrow(_banded(bands, rows), "key bigint, band int, rep bigint, cid bigint"), "bands")
     buckets = banded.groupBy("key", "band").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("rep", "cid")).alias("x"), F.bit_xor(F.xxhash64("cid", "rep")).alias("y"))
@@ -354,7 +354,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         """Full sets of the documents with the ids in ``need``."""
         need = staged(need.distinct(), "need")
         there = texts.withColumnRenamed("doc_id", "rep").join(F.broadcast(need) if need.count() <= MOST_IDS else need, "rep", "left_semi")
-        return staged(there.mapInArrow(_sets(shingle), "rep bigint, cid bigint, items binary").dropDuplicates(["rep", "cid"]), "items")
+        found = there.mapInArrow(_sets(shingle), "rep bigint, sig binary, items binary").select("rep", F.xxhash64("sig").alias("cid"), "items")
+        return staged(found.dropDuplicates(["rep", "cid"]), "items")
 
     first = members.withColumns({"s": F.lit(0), "side": F.lit(0), "label": F.xxhash64("rep", "cid")})
     first = staged(dealt(first).mapInArrow(_forest(m, rows, least), "a bigint, ca bigint, b bigint, cb bigint").distinct(), "pairs")
@@ -388,13 +389,6 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _with_cid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, at = T.buffers(batch.column(0))
-        cid = data[at[0] : at[-1]].view(np.int64).reshape(-1, 2)[:, 0].copy()
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cid)], names=[*batch.schema.names, "cid"])
-
-
 def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``docs`` but for the ids in ``dropped`` (staged): a broadcast anti join if their number is small enough."""
     return docs.join(F.broadcast(dropped) if dropped.count() <= MOST_IDS else dropped, id_col, "left_anti")

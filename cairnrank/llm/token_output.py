@@ -30,7 +30,7 @@ from cairnrank.llm import text as T
 from cairnrank.session import scratch, ship, staged
 
 #: Words kept; sequences of a batch; texts of a file, and most files, for which the driver keeps a line each.
-MOST_KEPT, BATCH, FILE_TEXTS, MOST_FILES = 400_000, 64, 8192, 20_000
+MOST_KEPT, BATCH, FILE_TEXTS, MOST_FILES = 250_000, 64, 8192, 20_000
 #: Where a word may be cut: between the letters a-z (1) and signs but the apostrophe (2). White space separates (0).
 KINDS = np.full(256, 3, np.uint8)
 KINDS[T.SPACE] = 0
