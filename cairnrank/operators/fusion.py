@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnrank.functions.scalars import task_id
-from cairnrank.operators.ranking import collapse, ranked
+from cairnrank.operators.ranking import collapse, correlation, ranked
 
 
 def evidence(results: DataFrame) -> DataFrame:
@@ -109,5 +109,4 @@ def shared_rank_correlation(rows: DataFrame) -> DataFrame:
     """Pairs of a site's queries: correlation of the ranks they gave the molecules both found; null below two."""
     side = lambda q, r: rows.select("site_id", "molecule_id", F.col("query_id").alias(q), F.col("query_molecule_rank").alias(r))
     both = side("a", "ra").join(side("b", "rb"), ["site_id", "molecule_id"]).filter("a < b")
-    ok = (F.count("*") > 1) & (F.stddev_pop("ra") > 1e-12) & (F.stddev_pop("rb") > 1e-12)
-    return both.groupBy("site_id", "a", "b").agg(F.count("*").alias("shared"), F.when(ok, F.corr("ra", "rb")).alias("rank_correlation"))
+    return both.groupBy("site_id", "a", "b").agg(F.count("*").alias("shared"), correlation("ra", "rb", 1e-12).alias("rank_correlation"))

@@ -105,6 +105,13 @@ def retained(rows: DataFrame, n: int, gid: str = "gid", distance: str = "distanc
     return top(rows.filter(F.col(gid) >= 0), n, [F.asc(distance), F.asc(gid)])
 
 
+def correlation(a: str, b: str, least: float = 0.0) -> Column:
+    """Pearson correlation as an aggregate; null if there are under two rows or a side's deviation is at most ``least``."""
+    sa, sb = F.stddev_pop(a), F.stddev_pop(b)
+    both = F.when((sa > least) & (sb > least), sa * sb)
+    return F.when(F.count("*") > 1, F.covar_pop(a, b) / F.nullif(both, F.lit(0.0)))
+
+
 def average_ranks(rows: DataFrame, value: str, within: list[str], name: str = "average_rank") -> DataFrame:
     """0-based ranks, ties sharing their mean."""
     w = Window.partitionBy(*within)
@@ -114,14 +121,14 @@ def average_ranks(rows: DataFrame, value: str, within: list[str], name: str = "a
 def spearman(rows: DataFrame, a: str, b: str, within: list[str], name: str = "spearman") -> DataFrame:
     """Rank correlation of two columns by group; null if a side is constant."""
     r = average_ranks(average_ranks(rows, a, within, "_a"), b, within, "_b")
-    out = r.groupBy(*within).agg(F.when((F.stddev_pop("_a") > 0) & (F.stddev_pop("_b") > 0), F.corr("_a", "_b")).alias(name), F.count("*").alias("n"))
+    out = r.groupBy(*within).agg(correlation("_a", "_b").alias(name), F.count("*").alias("n"))
     return out
 
 
 def ranking_agreement(a: DataFrame, b: DataFrame, n: int, gid: str = "gid") -> DataFrame:
     """Of two rankings (id, rank) of the same ids: correlation of their ranks and ids in both tops."""
     both = a.select(gid, F.col("rank").alias("ra")).join(b.select(gid, F.col("rank").alias("rb")), gid)
-    return both.agg(F.corr("ra", "rb").alias("rank_correlation"), F.count_if((F.col("ra") <= n) & (F.col("rb") <= n)).alias("shared_top"), F.count("*").alias("n"))
+    return both.agg(correlation("ra", "rb").alias("rank_correlation"), F.count_if((F.col("ra") <= n) & (F.col("rb") <= n)).alias("shared_top"), F.count("*").alias("n"))
 
 
 def two_metric_comparison(rows: DataFrame, molecule: str, first: str, second: str, k: int, outside: int, gid: str = "gid") -> DataFrame:

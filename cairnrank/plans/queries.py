@@ -607,3 +607,105 @@ def keys_and_scores(spark, sf_dir):
         "l_orderkey", "l_linenumber", S.pair_key(F.col("l_suppkey") % 6 + 1, F.col("l_partkey") % 6 + 1, S.distance_bin(F.col("l_quantity"), 0.5)).alias("key"), low.alias("low"), high.alias("high"),
         F.round(S.tanimoto(cross, F.col("l_tax"), F.col("l_discount")), 9).alias("tanimoto"), F.round(S.tversky(cross, F.col("l_tax"), F.col("l_discount")), 9).alias("tversky"),
     )
+
+
+# --- clouds and poses ----------------------------------------------------------------------------------------------
+
+
+@query(f"""
+WITH {_C[:-2]}
+SELECT b.gid AS point, arg_min(a.gid, (sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2), a.gid)) AS partner,
+  round(min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2)), 6) AS distance, count(*) AS within
+FROM c b JOIN c a ON a.idx = 1 AND b.idx = 0 WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) <= 0.75 GROUP BY 1
+""")
+def nearest_partner(spark, sf_dir):
+    """Spatial nearest-neighbour join by grid cells: each row's feature 0 with the nearest feature 1."""
+    from cairnrank.operators.overlay import nearest_partner as join
+
+    c = T.clouds(spark, sf_dir)
+    side = lambda k: c.filter(F.col("idx") == k).select(F.col("gid").alias("id"), "x", "y", "z")
+    found = join(side(0), side(1), 0.75)
+    return found.withColumn("distance", F.round("distance", 6))
+
+
+@query()
+def overlay_scores(spark, sf_dir):
+    """Every cloud laid on cloud 0 by axis seeds: three objectives, each with a pose of its own."""
+    from cairnrank.functions.geometry import OBJECTIVES
+    from cairnrank.operators import overlay
+
+    q, rows = _overlay_query(spark, sf_dir)
+    out = overlay.scored(rows, q, most=0)
+    return out.select("gid", *[F.round(o, 6).alias(o) for o in OBJECTIVES])
+
+
+def _overlay_query(spark, sf_dir):
+    from cairnrank.functions.geometry import Overlay
+    from cairnrank.operators.overlay import nested
+
+    rows = nested(T.clouds(spark, sf_dir))
+    own = rows.filter("gid = 0").first()
+    return Overlay(own["shape"], own["features"], own["types"], [1.5] * 3 + [1.0] * 18, (0, 1, 2)), rows
+
+
+@query()
+def staged_rerank(spark, sf_dir):
+    """All clouds coarsely, the best by each objective finely, then which feature meets which anchor."""
+    from cairnrank.operators import overlay
+
+    q, rows = _overlay_query(spark, sf_dir)
+    poses = overlay.staged_rerank(rows, q, 10, most=24)
+    notes = overlay.annotated(poses, rows, q.features[:3], q.types[:3], [1.5, 1.0, 1.0])
+    return poses.select("gid", F.round("atomcentered_anchored_joint", 6).alias("score")).join(notes, "gid").select("gid", "score", F.round("match_score", 6).alias("match_score"), F.array_join(F.col("assignments").cast("array<string>"), ",").alias("assignments"))
+
+
+@query()
+def necessary_conditions(spark, sf_dir):
+    """How many clouds can meet cloud 0's first three features in one pose, and why others can't."""
+    from cairnrank.operators import overlay
+
+    q, rows = _overlay_query(spark, sf_dir)
+    return overlay.necessary(rows, q.features[:3], q.types[:3].tolist(), 0.75).groupBy("reason").agg(F.count("*").alias("rows"))
+
+
+# --- streams -------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT user_id, count(*) AS rows, CAST(bit_or(1 << CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'purchase' THEN 2 ELSE 3 END) AS BIGINT) AS mask FROM events GROUP BY 1")
+def stream_masks(spark, sf_dir):
+    """Running masks over a file stream."""
+    from cairnrank.streaming import incremental as I
+
+    schema = T.table(spark, sf_dir, "events").schema
+    kind = F.when(F.col("event_type") == "view", 1).when(F.col("event_type") == "click", 2).when(F.col("event_type") == "purchase", 4).otherwise(8)
+    rows = I.file_stream(spark, sf_dir, schema, "events.parquet").select("user_id", kind.cast("bigint").alias("mask"))
+    return I.kept(I.running_masks(rows, "user_id", "mask")).select("user_id", "rows", "mask")
+
+
+@query("SELECT user_id, arg_min(event_id, (-value, event_id)) AS event_id, max(value) AS value FROM events GROUP BY 1")
+def stream_best_rows(spark, sf_dir):
+    """The best row by key over a file stream."""
+    from cairnrank.streaming import incremental as I
+
+    schema = T.table(spark, sf_dir, "events").schema
+    return I.kept(I.running_best(I.file_stream(spark, sf_dir, schema, "events.parquet"), "user_id", "value", "event_id"))
+
+
+@query("SELECT event_type, count(*) AS rows, min(event_id) AS first, max(event_id) AS last FROM events GROUP BY 1")
+def stream_append(spark, sf_dir):
+    """Rows of a file stream appended once to a folder."""
+    from cairnrank.session import scratch
+    from cairnrank.streaming import incremental as I
+
+    target = scratch(spark, "appended")
+    I.appended(I.file_stream(spark, sf_dir, T.table(spark, sf_dir, "events").schema, "events.parquet"), target, "event_id")
+    return spark.read.parquet(target).groupBy("event_type").agg(F.count("*").alias("rows"), F.min("event_id").alias("first"), F.max("event_id").alias("last"))
+
+
+# --- nested data ---------------------------------------------------------------------------------------------------
+
+
+@query("SELECT role, count(*) AS turns, count(DISTINCT conv_id) AS conversations, count(*) FILTER (regexp_matches(text, '[\\x{4E00}-\\x{9FFF}]')) AS han FROM conversations GROUP BY 1")
+def conversation_roles(spark, sf_dir):
+    c = T.table(spark, sf_dir, "conversations")
+    return c.groupBy("role").agg(F.count("*").alias("turns"), F.countDistinct("conv_id").alias("conversations"), F.count_if(S.contains_han(F.col("text"))).alias("han"))
