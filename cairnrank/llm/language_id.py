@@ -46,7 +46,6 @@ _NAMES = sorted({s for _, s in SCRIPTS})
 _FROM = np.array([a for a, _ in SCRIPTS])
 _SCRIPT = np.array([_NAMES.index(s) for _, s in SCRIPTS])
 _U = np.uint64
-_held: dict[str, tuple] = {}
 _WORD = T.ALNUM.copy()
 _WORD[48:58] = False
 
@@ -200,10 +199,7 @@ def train(docs: DataFrame, most: int = SAMPLE, lang_col: str = "lang", id_col: s
 def _tools(shared) -> tuple[Model, T.WordTable]:
     """The broadcast model and this worker's table of its words."""
     model: Model = shared.value
-    if model.key not in _held:
-        _held.clear()
-        _held[model.key] = (model, T.WordTable(model.words, len(model.langs) + 2, np.float32, KEPT))
-    return _held[model.key]
+    return T.kept(("language", model.key), lambda: (model, T.WordTable(model.words, len(model.langs) + 2, np.float32, KEPT)))
 
 
 def _labelled(shared) -> Callable:

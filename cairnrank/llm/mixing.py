@@ -2,9 +2,8 @@
 
 Each source's texts stand in a hashed order, and their words are one stream, cut into blocks of one length, ``block``
 words or, so that none is left over, a little less (the first few of a source may have a word more than the rest). The mix
-is a list of slots, dealt to output shards. How many slots of a shard go to each source is drawn as a multinomial given
-what each source still owes (so a multivariate hypergeometric draw), which keeps every shard random and every source at
-its target. A source's slots are numbered through; slot j takes block ``permutation(j mod blocks)`` of pass
+is a list of slots, dealt to output shards. How many slots of a shard go to each source is a multinomial draw by what each
+source still owes, drawn anew for what a source can't give; so every shard is random and every source meets its target. A source's slots are numbered through; slot j takes block ``permutation(j mod blocks)`` of pass
 ``j div blocks``, a keyed Feistel permutation of the index, so each pass takes every block once at most. Slots and blocks
 then join by index: no source's rows are gathered, sorted or sampled as a whole.
 
@@ -31,7 +30,7 @@ from cairnrank.session import ship, staged
 
 WEIGHTS = (5, 2, 1)
 #: Rows of a bucket of a source's order, on average; slots of a shard, at least; cells of the table of draws, at most.
-BUCKET, SHARD, CELLS = 4_000, 4096, 4_000_000
+BUCKET, SHARD, CELLS = 4_000, 4096, 200_000
 ROUNDS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89)
 _U = np.uint64
 
@@ -52,6 +51,15 @@ def targets(sizes: list[int], most: int = 3) -> list[float]:
     return due.tolist()
 
 
+def drawn_counts(rng: np.random.Generator, left: np.ndarray, n: int) -> np.ndarray:
+    """``n`` slots among sources by what they owe, none over that."""
+    out = np.zeros_like(left)
+    while (missing := n - int(out.sum())) > 0:
+        free = left - out
+        out = np.minimum(out + rng.multinomial(missing, free / free.sum()), left)
+    return out
+
+
 def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
     """A keyed permutation of range(size), by value: four Feistel rounds, walked until the value is in range."""
     half = np.maximum(1, -(-np.ceil(np.log2(np.maximum(size, 2))).astype(np.int64) // 2)).astype(np.uint64)
@@ -112,7 +120,7 @@ def mix(docs: DataFrame, block: int = 64, most: int = 3, seed: int = 5, id_col:
     shards = max(1, min(slots // SHARD, CELLS // max(1, len(rows))))
     rng, left, cells = np.random.default_rng(seed), owed.copy(), []
     for k in range(shards):
-        drawn = rng.multivariate_hypergeometric(left, int(left.sum()) // (shards - k), method="marginals") if len(left) else left
+        drawn = drawn_counts(rng, left, int(left.sum()) // (shards - k))
         cells += [(k, n, int(blocks[n]), int(owed[n] - left[n]), int(drawn[n])) for n in np.flatnonzero(drawn).tolist()]
         left = left - drawn
     cells = spark.createDataFrame(cells, "shard bigint, number bigint, blocks bigint, first bigint, count bigint")

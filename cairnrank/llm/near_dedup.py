@@ -121,6 +121,7 @@ def likely(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, least:
 
 def _sketched(size: int, m: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        T.forget()
         for batch in batches:
             for i, j, data, offsets in T.blocks(batch.column(1)):
                 flat, at = sets_of(data, offsets, size)

@@ -6,6 +6,7 @@ temporary arrays stay small whatever the batch size.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,24 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 _tables: dict[str, np.ndarray] = {}
+_kept: dict = {}
+
+
+def kept(key, make):
+    """What ``make`` returned for the key, kept from task to task of a worker; one thing at a time, as memory is bounded."""
+    if key not in _kept:
+        forget()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def forget() -> None:
+    """Drop what this worker kept for another operator, and return its memory where the C library can."""
+    if _kept:
+        _kept.clear()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -26,7 +26,6 @@ from cairnrank.llm import text as T
 from cairnrank.session import ship
 
 MARK = "▁".encode()
-_held: dict[str, Counter] = {}
 
 
 def pieces(path: str) -> dict[bytes, int]:
@@ -80,9 +79,7 @@ class Counter:
 
 
 def counter(path: str) -> Counter:
-    if path not in _held:
-        _held[path] = Counter(pieces(path))
-    return _held[path]
+    return T.kept(("counter", path), lambda: Counter(pieces(path)))
 
 
 def _counted(path: str) -> Callable:

@@ -37,7 +37,6 @@ KINDS[T.SPACE] = 0
 KINDS[97:123] = 1
 KINDS[[b for b in b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"]] = 2
 _INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
-_held: dict[tuple[str, int], Encoder] = {}
 
 
 class Encoder:
@@ -104,9 +103,7 @@ class Encoder:
 
 def encoder(path: str, end_id: int) -> Encoder:
     """The worker's encoder, kept from task to task."""
-    if (path, end_id) not in _held:
-        _held[path, end_id] = Encoder(path, end_id)
-    return _held[path, end_id]
+    return T.kept(("encoder", path, end_id), lambda: Encoder(path, end_id))
 
 
 def _schema(dtype: np.dtype, length: int) -> pa.Schema:
