@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairnrank.session import staged
+
 CHANNELS = ("baseline", "strict", "balanced", "loose")
 
 
@@ -16,6 +18,21 @@ def ranked(df: DataFrame, by: list[Column], within: list[str] | None = None, nam
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*(within or [])).orderBy(*by)).cast("bigint"))
 
 
+def ranked_globally(df: DataFrame, by: list[Column], name: str = "rank") -> DataFrame:
+    """1-based numbers of all rows in an order, without bringing them to one task.
+
+    Rows are dealt by ranges and sorted there; a row's number is its place in its range plus the rows of those before, of
+    which there is one count a partition. The order must be total.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = staged(df.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("_id", F.monotonically_increasing_id()), "ranked")
+    rows = rows.withColumn("_part", F.shiftright("_id", 33))
+    counts = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.join(F.broadcast(counts.select("_part", before.alias("_before"))), "_part")
+    return rows.withColumn(name, F.col("_id").bitwiseAND((1 << 33) - 1) + 1 + F.col("_before")).drop("_id", "_part", "_before")
+
+
 def top_within(df: DataFrame, k: int, by: list[Column], within: list[str], name: str = "rank") -> DataFrame:
     """First ``k`` rows of each group; map tasks keep k a group before the shuffle (WindowGroupLimit)."""
     return ranked(df, by, within, name).filter(F.col(name) <= k)
@@ -133,7 +150,7 @@ def ranking_agreement(a: DataFrame, b: DataFrame, n: int, gid: str = "gid") -> D
 
 def two_metric_comparison(rows: DataFrame, molecule: str, first: str, second: str, k: int, outside: int, gid: str = "gid") -> DataFrame:
     """Each molecule's best row by two metrics, with both ranks and the group: agreed, first_only, second_only or none."""
-    one, two = (ranked(collapse(rows.select(molecule, gid, F.col(m).alias("score")), [molecule]), [F.desc("score"), F.asc(molecule)]) for m in (first, second))
+    one, two = (ranked_globally(collapse(rows.select(molecule, gid, F.col(m).alias("score")), [molecule]), [F.desc("score"), F.asc(molecule)]) for m in (first, second))
     both = one.select(molecule, F.col(gid).alias("first_gid"), F.col("rank").alias("first_rank")).join(two.select(molecule, F.col(gid).alias("second_gid"), F.col("rank").alias("second_rank")), molecule)
     a, b = F.col("first_rank"), F.col("second_rank")
     group = F.when((a <= k) & (b <= k), "agreed").when((a <= k) & (b > outside), "first_only").when((b <= k) & (a > outside), "second_only").otherwise("none")

@@ -18,15 +18,15 @@ def group_size_histogram(rows: DataFrame, molecule: str) -> DataFrame:
 def imported(records: DataFrame, known: DataFrame, keys: list[str], digest: str, order: list[str]) -> DataFrame:
     """Outcome of each record: ``inserted``, ``duplicate`` (digest known, or earlier in this import) or ``conflict``.
 
-    A conflict is another digest for keys that are known or come earlier. Without any shuffle of known rows but by keys.
+    A conflict is another digest for keys that are known or come earlier. The first record of a key is found by a hash
+    aggregate with map-side minima, so one key may have most of the rows. ``order`` names a record.
     """
-    w = Window.partitionBy(*keys).orderBy(*order)
-    rows = records.withColumn("_first", F.first(digest).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    rows = rows.withColumn("_n", F.row_number().over(w))
-    rows = rows.join(known.groupBy(*keys).agg(F.min(digest).alias("_known")), keys, "left")
-    stands = F.coalesce("_known", "_first")
-    outcome = F.when(F.col(digest) != stands, "conflict").when((F.col("_n") > 1) | F.col("_known").isNotNull(), "duplicate").otherwise("inserted")
-    return rows.withColumn("outcome", outcome).drop("_first", "_known", "_n")
+    at = F.struct(*order)
+    first = records.groupBy(*keys).agg(F.min(F.struct(at.alias("at"), F.col(digest).alias("digest"))).alias("_first"))
+    first = first.join(known.groupBy(*keys).agg(F.min(digest).alias("_known")), keys, "left")
+    rows = records.join(first, keys)
+    outcome = F.when(F.col(digest) != F.coalesce("_known", "_first.digest"), "conflict").when(F.col("_known").isNotNull() | (at != F.col("_first.at")), "duplicate")
+    return rows.withColumn("outcome", outcome.otherwise("inserted")).drop("_first", "_known")
 
 
 def preserved_index(rows: DataFrame, molecule: str, index: str, order: list[str]) -> DataFrame:

@@ -709,3 +709,136 @@ def stream_append(spark, sf_dir):
 def conversation_roles(spark, sf_dir):
     c = T.table(spark, sf_dir, "conversations")
     return c.groupBy("role").agg(F.count("*").alias("turns"), F.countDistinct("conv_id").alias("conversations"), F.count_if(S.contains_han(F.col("text"))).alias("han"))
+
+
+@query(f"""
+WITH {_C[:-2]}
+SELECT a.gid, round(sum(exp(((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) / -2)), 6) AS overlap FROM c a JOIN c b ON a.gid = b.gid AND a.type = b.type
+WHERE (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2 <= 20.25 GROUP BY 1
+""")
+def self_overlaps(spark, sf_dir):
+    """Typed Gaussian self overlap by the kernel."""
+    from cairnrank.operators import overlay
+
+    return overlay.self_overlaps(overlay.nested(T.clouds(spark, sf_dir))).withColumn("overlap", F.round("overlap", 6))
+
+
+@query(f"""
+WITH {_C[:-2]}
+SELECT gid, """ + ", ".join(f"(min({c}) + max({c})) / 2 AS mid_{c}, CAST(ceil((max({c}) - min({c})) / 2 + 5) AS BIGINT) AS half_{c}" for c in "xyz") + " FROM c GROUP BY 1")
+def cloud_boxes(spark, sf_dir):
+    from cairnrank.operators import overlay
+
+    return overlay.boxes(T.clouds(spark, sf_dir))
+
+
+@query(f"WITH {_C[:-2]} SELECT gid, idx, 1.5::DOUBLE / count(*) OVER (PARTITION BY gid, type) AS share FROM c")
+def split_weights(spark, sf_dir):
+    from cairnrank.operators import overlay
+
+    return overlay.split_weights(T.clouds(spark, sf_dir).withColumn("w", F.lit(1.5)), ["gid", "type"], "w").select("gid", "idx", "share")
+
+
+@query(f"""
+WITH {_C[:-2]}
+SELECT gid, idx, CAST(round_even((x - 1) * 100, 0) AS SMALLINT) AS qx, CAST(round_even((y - 1) * 100, 0) AS SMALLINT) AS qy, round(1 + round_even((z - 1) * 100, 0) / 100, 6) AS back_z FROM c
+""")
+def quantised_points(spark, sf_dir):
+    c, one = T.clouds(spark, sf_dir), F.lit(1.0)
+    q = lambda k: S.quantised(F.col(k), one)
+    return c.select("gid", "idx", q("x").alias("qx"), q("y").alias("qy"), F.round(S.dequantised(q("z"), one), 6).alias("back_z"))
+
+
+@query(f"""
+WITH {_C[:-2]}
+SELECT a.gid, round(degrees(acos(greatest(-1, least(1, (a.x * b.x + a.y * b.y + a.z * b.z) / sqrt((a.x ** 2 + a.y ** 2 + a.z ** 2) * (b.x ** 2 + b.y ** 2 + b.z ** 2)))))), 5) AS angle
+FROM c a JOIN c b ON a.gid = b.gid AND a.idx = 0 AND b.idx = 1
+""")
+def feature_angles(spark, sf_dir):
+    c = T.clouds(spark, sf_dir)
+    a, b = (c.filter(F.col("idx") == k).select("gid", *[F.col(x).alias(f"{x}{k}") for x in "xyz"]) for k in (0, 1))
+    return a.join(b, "gid").select("gid", F.round(S.angle(*[F.col(f"{x}{k}") for k in (0, 1) for x in "xyz"]), 5).alias("angle"))
+
+
+@query(f"""
+WITH {_C} p AS (SELECT gid AS task, idx, x, y, z FROM c WHERE gid > 0), r AS (SELECT x, y, z FROM c WHERE gid = 0),
+d AS (SELECT task, idx, min(sqrt((p.x - r.x) ** 2 + (p.y - r.y) ** 2 + (p.z - r.z) ** 2)) AS d FROM p, r GROUP BY 1, 2)
+SELECT task, count(*) AS points, count(*) FILTER (d <= 1.2) / count(*)::DOUBLE AS near_fraction, round(min(CASE WHEN d <= 1.2 THEN d END), 6) AS least_distance,
+  count(*) FILTER (d < 0.8) AS close, count(*) FILTER (d < 0.5) AS severe FROM d GROUP BY 1
+""")
+def pose_checks(spark, sf_dir):
+    """Every cloud's points against cloud 0 as pocket and ligand."""
+    from cairnrank.operators import structures
+
+    c = T.clouds(spark, sf_dir)
+    pocket = c.filter("gid = 0").select("x", "y", "z")
+    return structures.pose_checks(c.filter("gid > 0").withColumnRenamed("gid", "task"), pocket, pocket, 1.2, 0.8, 0.5).withColumn("least_distance", F.round("least_distance", 6))
+
+
+# --- registry ------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, max(ts) AS ts, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1")
+def current_states(spark, sf_dir):
+    """Each user's last event."""
+    from cairnrank.operators import registry
+
+    e = T.table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
+    return registry.current(e, "user_id", ["ts", "event_id"])
+
+
+@query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1 AS accepted FROM events WHERE event_type = 'purchase'")
+def first_locks(spark, sf_dir):
+    from cairnrank.operators import registry
+
+    return registry.first_locks(T.table(spark, sf_dir, "events").filter("event_type = 'purchase'"), "user_id", ["ts", "event_id"]).select("user_id", "event_id", "accepted")
+
+
+@query("SELECT l_partkey, l_suppkey, array_to_string(list_sort(list(DISTINCT l_returnflag)), ',') AS digests FROM lineitem GROUP BY 1, 2 HAVING count(DISTINCT l_returnflag) > 1")
+def conflicting_records(spark, sf_dir):
+    from cairnrank.operators import registry
+
+    return registry.conflicting_records(T.table(spark, sf_dir, "lineitem"), ["l_partkey", "l_suppkey"], "l_returnflag").withColumn("digests", F.array_join("digests", ","))
+
+
+@query("""
+WITH m AS (SELECT CAST(l_linenumber AS VARCHAR) AS variant, count(*) AS runs, median(l_quantity) AS seconds FROM lineitem WHERE l_returnflag = 'N' GROUP BY 1)
+SELECT variant, runs, seconds, (SELECT seconds FROM m WHERE variant = '1') / seconds AS speedup FROM m
+""")
+def benchmark_speedups(spark, sf_dir):
+    from cairnrank.operators import registry
+
+    rows = T.table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").cast("string").alias("variant"), F.col("l_quantity").alias("seconds"), (F.col("l_returnflag") == "N").alias("eligible"))
+    return registry.speedups(rows, "1")
+
+
+@query("""
+WITH s AS (SELECT l_linenumber AS setting, l_suppkey, min(l_quantity) AS v FROM lineitem GROUP BY 1, 2), q AS (SELECT count(DISTINCT l_suppkey) AS n FROM lineitem)
+SELECT min(setting) AS setting FROM (SELECT setting FROM s GROUP BY 1 HAVING count(*) = (SELECT n FROM q) AND min(v) >= 1)
+""")
+def chosen_setting(spark, sf_dir):
+    from cairnrank.operators import registry
+
+    rows = T.table(spark, sf_dir, "lineitem")
+    n = rows.select("l_suppkey").distinct().count()
+    runs = rows.groupBy(F.col("l_linenumber").alias("setting"), F.col("l_suppkey").alias("query_id")).agg(F.min("l_quantity").alias("v"))
+    return registry.chosen_setting(runs, "setting", "v", n, 1.0)
+
+
+@query("SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS rows FROM events GROUP BY 1, 2")
+def json_columns(spark, sf_dir):
+    e = T.table(spark, sf_dir, "events").select("event_type", F.from_json("props", "k bigint")["k"].alias("k"))
+    return e.groupBy("event_type", "k").agg(F.count("*").alias("rows"))
+
+
+@query("""
+WITH t AS (SELECT o_orderkey AS task, o_custkey AS owner, o_orderstatus AS status FROM orders), a AS (SELECT o_orderkey AS task, CASE WHEN o_orderkey % 4 = 0 THEN 'viewer' ELSE 'owner' END AS role FROM orders WHERE o_custkey % 10 < 7)
+SELECT status, count(*) AS tasks FROM t JOIN a USING (task) WHERE role <> 'viewer' GROUP BY 1
+""")
+def accessible_tasks(spark, sf_dir):
+    from cairnrank.operators import registry
+
+    o = T.table(spark, sf_dir, "orders")
+    tasks = o.select(F.col("o_orderkey").alias("task_id"), F.col("o_orderstatus").alias("status"))
+    access = o.filter("o_custkey % 10 < 7").select(F.col("o_orderkey").alias("task_id"), F.lit("u").alias("user_id"), F.when(F.col("o_orderkey") % 4 == 0, "viewer").otherwise("owner").alias("role"))
+    return registry.accessible(tasks, access, "u", True).groupBy("status").agg(F.count("*").alias("tasks"))

@@ -175,3 +175,10 @@ def test_settings_and_equivalence(spark):
     assert rows(records.settings_summary(runs, ["n"], "r", 0.8), "n", "runs", "passes") == [(1, 2, True), (2, 1, False)]
     a, b = (spark.createDataFrame(x, "id bigint, s double") for x in ([(1, 1.0), (2, 2.0)], [(1, 1.25), (3, 1.0)]))
     assert tuple(records.score_equivalence(a, b, ["id"], "s").first()) == (0.25, 1, 1, 3)
+
+
+def test_global_ranks(spark):
+    df = spark.range(0, 500, 1, 9).select("id", (F.hash("id") % 50).alias("v"))
+    by = [F.desc("v"), F.asc("id")]
+    assert rows(ranking.ranked_globally(df, by), "id", "rank") == rows(ranking.ranked(df, by), "id", "rank")
+    assert ranking.ranked_globally(df.limit(0), by).collect() == []
