@@ -9,8 +9,9 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of whole texts in an Arrow batch, at most: they are large, and each task holds a few batches.
-BATCH_ROWS = 1000
+#: Rows of whole texts in an Arrow batch and in a batch of the Parquet reader, at most: they are large, and each task holds
+#: a few batches, whose arrays the reader doubles as they fill.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.parquet.columnarReaderBatchSize": 512}
 REPO = str(Path(__file__).resolve().parent.parent)
 
 
@@ -20,9 +21,9 @@ def ship(spark: SparkSession) -> SparkSession:
     parts = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep)
     if REPO not in parts:
         env["PYTHONPATH"] = os.pathsep.join([REPO, *filter(None, parts)])
-    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(batch)) > BATCH_ROWS:
-        spark.conf.set(batch, BATCH_ROWS)
+    for name, rows in BATCHES.items():
+        if int(spark.conf.get(name)) > rows:
+            spark.conf.set(name, rows)
     return spark
 
 
