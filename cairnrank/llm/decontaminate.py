@@ -149,6 +149,7 @@ def runs(hit: np.ndarray) -> list[dict[str, int]]:
 
 def _matched(shared) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        T.forget()
         auto: Automaton = shared.value
         for batch in batches:
             n, spans, items = [], batch.column(3).to_pylist(), batch.column(4).to_pylist()
@@ -196,6 +197,7 @@ def _cleaned(shared, at: int, chars: int | None, longest: int, coverage: float)
     """Batches whose texts (column ``at``) are cut, without rows that are mostly benchmark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        T.forget()
         auto: Automaton = shared.value
         for batch in batches:
             texts, keep = batch.column(at).cast(pa.binary()).to_pylist(), []

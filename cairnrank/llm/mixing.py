@@ -77,6 +77,7 @@ def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray
 
 
 def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    T.forget()
     for batch in batches:
         size = [word for _, _, data, offsets in T.blocks(batch.column(3)) for word in T.word_count(data, offsets, ~T.SPACE).tolist()]
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(size, pa.int64())], names=["doc_id", "mark", "source", "size"])
@@ -153,6 +154,7 @@ def _pieced(at: int, chars: int | None) -> Callable:
     """Batches with a last column of (turn, first, words) to a row for each turn, its text cut to the words taken."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        T.forget()
         for batch in batches:
             data, offsets = T.buffers(batch.column(at))
             source, texts = [], []
