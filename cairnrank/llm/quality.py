@@ -53,9 +53,9 @@ def _adam(grad: list[np.ndarray], state: list, params: list[np.ndarray], step: i
 
 
 class Network:
-    def __init__(self, rows: list[tuple], seed: int = 10):
-        """Learn from rows (doc_id, text, label)."""
-        self.share = (sum(r[2] for r in rows) + 0.5) / (len(rows) + 1)
+    def __init__(self, rows: list[tuple], share: float = 0.5, seed: int = 10):
+        """Learn from rows (doc_id, text, label); ``share`` of label 1 among all that is labelled."""
+        self.share = share
         self.table = None
         if len({r[2] for r in rows}) < 2:
             return
@@ -106,6 +106,7 @@ class Network:
         self.mean, self.scale = a.mean(axis=0), a.std(axis=0) + 1e-6
         a = np.c_[(a - self.mean) / self.scale, np.ones(len(a))]
         self.beta = np.zeros(a.shape[1])
+        weigh = np.where(label == 1, share / label.mean(), (1 - share) / (1 - label.mean()))  # as common as they are
         for _ in range(30):
             p = _sigmoid(a @ self.beta)
             h = (a * (weigh * p * (1 - p))[:, None]).T @ a + 0.5 * np.eye(len(self.beta))
@@ -141,7 +142,8 @@ class Network:
 
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Network:
     """A network from at most ``most`` texts of each label value, none of them held out."""
-    return Network(sample(docs, labels, "quality", most, [0, 1]))
+    known = labels.filter(F.col("quality").isNotNull() & ~held_out()).agg(F.avg(F.col("quality").cast("double"))).first()[0]
+    return Network(sample(docs, labels, "quality", most, [0, 1]), 0.5 if known is None else known)
 
 
 def _scored(shared) -> Callable:
