@@ -30,7 +30,7 @@ from cairnrank.llm import text as T
 from cairnrank.session import scratch, ship, staged
 
 #: Words kept; sequences of a batch; texts of a file, and most files, for which the driver keeps a line each.
-MOST_KEPT, BATCH, FILE_TEXTS, MOST_FILES = 250_000, 64, 8192, 20_000
+MOST_KEPT, BATCH, FILE_TEXTS, MOST_FILES = 400_000, 64, 8192, 20_000
 #: Where a word may be cut: between the letters a-z (1) and signs but the apostrophe (2). White space separates (0).
 KINDS = np.full(256, 3, np.uint8)
 KINDS[T.SPACE] = 0
@@ -42,16 +42,16 @@ _INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens",
 class Encoder:
     """Encodes texts through a table of words that have been encoded before."""
 
-    def __init__(self, path: str, end_id: int):
+    def __init__(self, path: str, end_id: int, kept: int = MOST_KEPT):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
+        self.tokenizer, self.end_id, self.kept = Tokenizer.from_file(path), end_id, kept
         self.dtype = np.dtype(np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
         self._clear()
 
     def _clear(self) -> None:
-        self.table = T.WordTable(self._encoded, 2, np.int64, MOST_KEPT)
+        self.table = T.WordTable(self._encoded, 2, np.int64, self.kept)
         self.flat, self.used = np.zeros(1 << 16, self.dtype), 0
 
     def _encoded(self, words: list[bytes]) -> np.ndarray:
@@ -81,7 +81,7 @@ class Encoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts of a block, each with the end id, and the number of each."""
-        if self.used > 16 * MOST_KEPT:
+        if self.used > 16 * self.kept:
             self._clear()
         if b"<|" in data.tobytes():  # a special token may stand there, as it is written
             starts, ends, at = T.word_spans(data, offsets, ~T.SPACE)
@@ -101,18 +101,18 @@ class Encoder:
         return ids, np.diff(stop, prepend=0)
 
 
-def encoder(path: str, end_id: int) -> Encoder:
+def encoder(path: str, end_id: int, kept: int) -> Encoder:
     """The worker's encoder, kept from task to task."""
-    return T.kept(("encoder", path, end_id), lambda: Encoder(path, end_id))
+    return T.kept(("encoder", path, end_id, kept), lambda: Encoder(path, end_id, kept))
 
 
 def _schema(dtype: np.dtype, length: int) -> pa.Schema:
     return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(dtype), length)), ("mask", pa.list_(pa.bool_(), length))])
 
 
-def _written(folder: str, path: str, end_id: int, length: int) -> Callable:
+def _written(folder: str, path: str, end_id: int, length: int, kept: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, task = encoder(path, end_id), TaskContext.get()
+        enc, task = encoder(path, end_id, kept), TaskContext.get()
         store, base = fs.FileSystem.from_uri(folder)
         store.create_dir(base, recursive=True)
         name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}"
@@ -166,14 +166,17 @@ def sequence(reader: pa.ipc.RecordBatchFileReader, n: int) -> tuple[np.ndarray,
     return ids, batch.column(1).values[k * length : (k + 1) * length].to_numpy(zero_copy_only=False)
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[str, list[dict]]:
-    """Write the files; their folder, and for each file in order its path, texts, ids, and the ids before it."""
+def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", kept: int = MOST_KEPT) -> tuple[str, list[dict]]:
+    """Write the files; their folder, and for each file in order its path, texts, ids, and the ids before it.
+
+    ``kept``: words of a worker's table; it changes no result.
+    """
     spark = ship(docs.sparkSession)
     folder = folder or scratch(spark, "tokens")
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     parts = max(1, min(MOST_FILES, -(-docs.count() // FILE_TEXTS)))
     dealt = texts.repartitionByRange(parts, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
-    done = staged(dealt.mapInArrow(_written(folder, tokenizer, end_id, length), "file bigint, path string, docs bigint, ids bigint"), "files")
+    done = staged(dealt.mapInArrow(_written(folder, tokenizer, end_id, length, kept), "file bigint, path string, docs bigint, ids bigint"), "files")
     files, before = [], 0
     for r in sorted(done.collect(), key=lambda r: r["file"]):  # one line a file: MOST_FILES, or the session's partitions
         files.append(r.asDict() | {"before": before})

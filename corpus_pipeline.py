@@ -25,6 +25,8 @@ from cairnrank.session import staged
 
 LEAST_SCORE = 0.2
 TOKENIZER = "word_bpe_49k.json"
+#: Words of a worker's table in the last stage, where executors hold what the stages before have left.
+KEPT = 200_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +49,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return token_output.read_tokens(spark, *token_output.write_tokens(docs, public_tokenizers.path(TOKENIZER)))
+    return token_output.read_tokens(spark, *token_output.write_tokens(docs, public_tokenizers.path(TOKENIZER), kept=KEPT))
 
 
 STAGES = [("language_id", language), ("near_dedup", near), ("decontamination", clean), ("mixing", mixed), ("token_output", tokens)]

@@ -38,9 +38,8 @@ def test_encoder_agrees(direct):
         assert ids.tolist() == [x for t in (ODD * 2)[i:j] for x in direct(t)] and count.sum() == len(ids)
 
 
-def test_small_table_changes_nothing(direct, monkeypatch):
-    monkeypatch.setattr("cairnrank.llm.token_output.MOST_KEPT", 3)
-    e = Encoder(PATH, 1)
+def test_small_table_changes_nothing(direct):
+    e = Encoder(PATH, 1, 3)
     for text in ["a b c d e", "a a f g", "b c", "h i j a"] * 3:
         (_, _, data, offsets), = T.blocks(pa.array([text]))
         assert e.encode(data, offsets)[0].tolist() == direct(text)
