@@ -30,7 +30,7 @@ from cairnrank.session import ship
 #: Texts a language to learn from, at most; nats a switch costs; least share of a language's letters for a script.
 SAMPLE, PENALTY, USED = 800, 14.0, 0.001
 #: Words of a worker's table.
-KEPT = 120_000
+KEPT = 80_000
 BUCKETS = 1 << 17
 #: First code points of script ranges, and the script from there on. Fixed values.
 SCRIPTS = (

@@ -26,7 +26,7 @@ from cairnrank.session import staged
 LEAST_SCORE = 0.2
 TOKENIZER = "word_bpe_49k.json"
 #: Words of a worker's table in the last stage, where executors hold what the stages before have left.
-KEPT = 200_000
+KEPT = 100_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
