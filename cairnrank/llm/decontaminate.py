@@ -3,7 +3,7 @@
 Words are runs of letters, digits and non-ASCII characters after A-Z became a-z. An item's windows are its runs of
 ``window`` words, or all its words if it has fewer. The automaton of all items is built once and broadcast; each text
 streams through it, and the longest matching length at every word tells which windows end there. The automaton's size is
-bounded: items beyond ``MOST_WORDS`` words go to further automata, each a pass of its own.
+bounded: items beyond ``MOST_WORDS`` words go to further automata, each a pass of its own over the uncut text.
 
 Defined cases: null and empty texts and items have no words; items with the same id count once, a null id as "null"; an
 empty benchmark hits nothing; repeated rows are each marked. An empty table gives an empty table. Other columns pass
@@ -28,6 +28,7 @@ MOST_WORDS = 200_000
 #: Word bytes in lower case, all others a space.
 _WORDS = bytes(int(T.LOWER[b]) if T.ALNUM[b] else 32 for b in range(256))
 _FOUND = "doc_id bigint, text string, n_words bigint, spans array<struct<start:bigint,stop:bigint>>, items array<string>"
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -193,18 +194,45 @@ def hit_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: s
     return out
 
 
-def _cleaned(shared, at: int, chars: int | None, longest: int, coverage: float) -> Callable:
-    """Batches whose texts (column ``at``) are cut, without rows that are mostly benchmark."""
+def _marked(shared, at: int) -> Callable:
+    """Batches whose last column, the hit spans of the texts (column ``at``), gets those of one automaton more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         T.forget()
         auto: Automaton = shared.value
         for batch in batches:
+            spans = batch.column(batch.num_columns - 1).to_pylist()
+            for k, x in enumerate(batch.column(at).cast(pa.binary()).to_pylist()):
+                if found := auto.match(words_of(x or b"")):
+                    for s in spans[k]:
+                        found[0][s["start"] : s["stop"]] = True
+                    spans[k] = runs(found[0])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(spans, _SPANS)], names=batch.schema.names)
+
+    return run
+
+
+def _cleaned(shared, at: int, chars: int | None, longest: int, coverage: float, marked: bool) -> Callable:
+    """Batches whose texts (column ``at``) are cut, without rows that are mostly benchmark.
+
+    ``marked``: the last column, which goes, has the hit spans of the automata before.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        T.forget()
+        auto: Automaton = shared.value
+        for batch in batches:
+            before = batch.column(batch.num_columns - 1).to_pylist() if marked else repeat([])
+            if marked:
+                batch = batch.select(range(batch.num_columns - 1))
             texts, keep = batch.column(at).cast(pa.binary()).to_pylist(), []
-            for k, x in enumerate(texts):
+            for k, (x, held) in enumerate(zip(texts, before, strict=marked)):
                 words = words_of(x or b"")
                 found = auto.match(words)
-                spans = [s for s in runs(found[0]) if s["stop"] - s["start"] > longest] if found else []
+                mask = found[0] if found else np.zeros(len(words) if held else 0, bool)
+                for s in held:
+                    mask[s["start"] : s["stop"]] = True
+                spans = [s for s in runs(mask) if s["stop"] - s["start"] > longest]
                 hit = sum(s["stop"] - s["start"] for s in spans)
                 keep.append(hit <= coverage * len(words))
                 if spans:
@@ -227,13 +255,22 @@ def _cleaned(shared, at: int, chars: int | None, longest: int, coverage: float)
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, longest: int = 0, coverage: float = 0.5, text_col: str = "text", most_words: int = MOST_WORDS) -> DataFrame:
     """``docs`` without runs of over ``longest`` hit words, and without rows of which these are over ``coverage``.
 
+    Hit words are those of all automata on the uncut text; texts are cut and rows judged once, by the last of them.
     A column ``n_chars`` follows the texts that are cut.
     """
     spark = ship(docs.sparkSession)
+    schema, at = docs.schema, docs.columns.index(text_col)
     chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+    name = "_spans"
+    while name in map(str.lower, docs.columns):
+        name += "_"
+    shared, marked = None, False
     for auto in automata(benchmark, window, most_words=most_words):
-        docs = docs.mapInArrow(_cleaned(spark.sparkContext.broadcast(auto), docs.columns.index(text_col), chars, longest, coverage), docs.schema)
-    return docs
+        if shared is not None:
+            out = docs if marked else docs.withColumn(name, F.array().cast("array<struct<start:bigint,stop:bigint>>"))
+            docs, marked = staged(out.mapInArrow(_marked(shared, at), out.schema), "spans"), True
+        shared = spark.sparkContext.broadcast(auto)
+    return docs.mapInArrow(_cleaned(shared, at, chars, longest, coverage, marked), schema)
 
 
 def op8_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -58,3 +58,17 @@ def test_empty_tables(spark, docs):
     bench = spark.createDataFrame([], "item_id bigint, text string")
     assert hit_spans(docs([]), bench).collect() == []
     assert [r["spans"] for r in hit_spans(docs([(1, "a b c")]), bench).collect()] == [[]]
+
+
+@pytest.mark.parametrize("most", [200_000, 12])
+def test_cut_and_coverage_over_all_automata(spark, docs, most):
+    w = [f"w{k}" for k in range(16)]
+    c, d, e = ([f"{x}{k}" for k in range(12)] for x in "cde")
+    bench = spark.createDataFrame([(1, " ".join(w[1:11])), (2, " ".join(w[6:16])), (3, " ".join(c)), (4, " ".join(d)), (5, "end here")], "item_id bigint, text string")
+    rows = [
+        (0, "a " + " ".join(w[1:16]) + " " + " ".join(f"x{k}" for k in range(20))),  # overlapping items
+        (1, " ".join([*c, *d, *e[:4], *(f"y{k}" for k in range(16))])),  # 12 of 44 and 12 of 44, together over a half
+        (2, " ".join(["end", *c, "here", *e, *(f"y{k}" for k in range(16))])),  # what is left must not match anew
+    ]
+    rows = sorted((r["doc_id"], r["text"].split(), r["n"]) for r in decontaminate(docs(rows), bench, most_words=most).collect())
+    assert rows == [(0, ["a", *(f"x{k}" for k in range(20))], "x"), (2, ["end", "here", *e, *(f"y{k}" for k in range(16))], "x")]
