@@ -654,7 +654,7 @@ def staged_rerank(spark, sf_dir):
     from cairnrank.operators import overlay
 
     q, rows = _overlay_query(spark, sf_dir)
-    poses = overlay.staged_rerank(rows, q, 10, most=24)
+    poses = overlay.staged_rerank(rows, q, 10)
     notes = overlay.annotated(poses, rows, q.features[:3], q.types[:3], [1.5, 1.0, 1.0])
     return poses.select("gid", F.round("atomcentered_anchored_joint", 6).alias("score")).join(notes, "gid").select("gid", "score", F.round("match_score", 6).alias("match_score"), F.array_join(F.col("assignments").cast("array<string>"), ",").alias("assignments"))
 

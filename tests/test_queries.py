@@ -56,3 +56,16 @@ def test_staged_rerank_keeps_coarse_scores(spark):
     best = {r["gid"]: r for r in QUERIES["staged_rerank"](spark, SF).collect()}
     coarse = {r["gid"]: r["atomcentered_anchored_joint"] for r in QUERIES["overlay_scores"](spark, SF).collect()}
     assert all(r["score"] >= coarse[g] - 1e-6 for g, r in best.items())
+
+
+def test_staged_rerank_tries_all_pair_seeds(spark):
+    from cairnrank.functions.geometry import OBJECTIVES, Overlay
+    from cairnrank.operators.overlay import nested
+    from cairnrank.plans import tables as T
+
+    clouds = {r["gid"]: r for r in nested(T.clouds(spark, SF)).collect()}
+    for r in QUERIES["staged_rerank"](spark, SF).collect()[:40]:
+        q, c = clouds[r.asDict().get("query_id", 0)], clouds[r["gid"]]
+        query = Overlay(q["shape"], q["features"], q["types"], [1.5] * 3 + [1.0] * 18, (0, 1, 2))
+        best = query.best(c["shape"], c["features"], c["types"], most=10_000)[OBJECTIVES[2]][0]
+        assert r["score"] == pytest.approx(best, abs=1e-6)
