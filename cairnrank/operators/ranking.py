@@ -102,13 +102,14 @@ def collapse(rows: DataFrame, keys: list[str], score: str = "score", gid: str =
     return rows.groupBy(*keys).agg(best).select(*keys, (-F.col("b.g")).alias(gid), F.col("b.s").alias(score), *[F.col(f"b.{c}").alias(c) for c in keep])
 
 
-def union_of_tops(rows: DataFrame, objectives: list[str], n: int, gid: str = "gid") -> DataFrame:
-    """Union of the ``n`` best ids by each objective column; rank_<objective> is null where an id isn't among them."""
-    parts = None
+def union_of_tops(rows: DataFrame, objectives: list[str], n: int, gid: str = "gid", within: list[str] | None = None) -> DataFrame:
+    """Union of the ``n`` best ids by each objective column, in each group if given; rank_<objective> is null where an id isn't among them."""
+    parts, keys = None, [*(within or []), gid]
     for o in objectives:
-        part = top(rows.select(gid, F.col(o).alias("score")), n, [F.desc("score"), F.asc(gid)]).select(gid, F.lit(o).alias("objective"), "rank")
+        by, own = [F.desc("score"), F.asc(gid)], rows.select(*keys, F.col(o).alias("score"))
+        part = (top_within(own, n, by, within) if within else top(own, n, by)).select(*keys, F.lit(o).alias("objective"), "rank")
         parts = part if parts is None else parts.unionByName(part)
-    out = parts.groupBy(gid).agg(*[F.max(F.when(F.col("objective") == o, F.col("rank"))).alias(f"rank_{o}") for o in objectives], F.min("rank").alias("best_rank"))
+    out = parts.groupBy(*keys).agg(*[F.max(F.when(F.col("objective") == o, F.col("rank"))).alias(f"rank_{o}") for o in objectives], F.min("rank").alias("best_rank"))
     return out
 
 

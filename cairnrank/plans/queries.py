@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from cairnrank.functions import scalars as S
 from cairnrank.operators import fusion, masks, postings, ranking, records, vectors
 from cairnrank.plans import tables as T
+from cairnrank.session import staged
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -630,42 +633,55 @@ def nearest_partner(spark, sf_dir):
 
 @query()
 def overlay_scores(spark, sf_dir):
-    """Every cloud laid on cloud 0 by axis seeds: three objectives, each with a pose of its own."""
+    """Every cloud laid on each asked cloud by axis seeds: three objectives, each with a pose of its own."""
     from cairnrank.functions.geometry import OBJECTIVES
     from cairnrank.operators import overlay
 
-    q, rows = _overlay_query(spark, sf_dir)
-    out = overlay.scored(rows, q, most=0)
-    return out.select("gid", *[F.round(o, 6).alias(o) for o in OBJECTIVES])
+    rows, asked = _overlay_queries(spark, sf_dir)
+    out = _united(overlay.scored(rows, q, poses=False, most=0) for q in asked)
+    return out.select("query_id", "gid", *[F.round(o, 6).alias(o) for o in OBJECTIVES])
 
 
-def _overlay_query(spark, sf_dir):
+def _overlay_queries(spark, sf_dir):
+    """All clouds, and blocks of the asked ones as queries."""
     from cairnrank.functions.geometry import Overlay
-    from cairnrank.operators.overlay import nested
+    from cairnrank.operators.overlay import blocks, nested
 
     rows = nested(T.clouds(spark, sf_dir))
-    own = rows.filter("gid = 0").first()
-    return Overlay(own["shape"], own["features"], own["types"], [1.5] * 3 + [1.0] * 18, (0, 1, 2)), rows
+    return rows, blocks(T.asked(rows), lambda r: Overlay(r["shape"], r["features"], r["types"], [1.5] * 3 + [1.0] * 18, (0, 1, 2)))
+
+
+def _united(parts):
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def _anchors(queries):
+    """The first three features of each query, with their types."""
+    return {i: (q.features[:3], q.types[:3].tolist()) for i, q in queries.items()}
 
 
 @query()
 def staged_rerank(spark, sf_dir):
-    """All clouds coarsely, the best by each objective finely, then which feature meets which anchor."""
+    """For each asked cloud all clouds coarsely, the best by each objective finely, then which feature meets which anchor."""
     from cairnrank.operators import overlay
 
-    q, rows = _overlay_query(spark, sf_dir)
-    poses = overlay.staged_rerank(rows, q, 10)
-    notes = overlay.annotated(poses, rows, q.features[:3], q.types[:3], [1.5, 1.0, 1.0])
-    return poses.select("gid", F.round("atomcentered_anchored_joint", 6).alias("score")).join(notes, "gid").select("gid", "score", F.round("match_score", 6).alias("match_score"), F.array_join(F.col("assignments").cast("array<string>"), ",").alias("assignments"))
+    rows, asked = _overlay_queries(spark, sf_dir)
+
+    def one(q):
+        poses = staged(overlay.staged_rerank(rows, q, 10), "poses")
+        notes = overlay.annotated(poses, rows, _anchors(q), [1.5, 1.0, 1.0])
+        return poses.select("query_id", "gid", F.round("atomcentered_anchored_joint", 6).alias("score")).join(notes, ["query_id", "gid"])
+
+    return _united(map(one, asked)).select("query_id", "gid", "score", F.round("match_score", 6).alias("match_score"), F.array_join(F.col("assignments").cast("array<string>"), ",").alias("assignments"))
 
 
 @query()
 def necessary_conditions(spark, sf_dir):
-    """How many clouds can meet cloud 0's first three features in one pose, and why others can't."""
+    """How many clouds can meet each asked cloud's first three features in one pose, and why others can't."""
     from cairnrank.operators import overlay
 
-    q, rows = _overlay_query(spark, sf_dir)
-    return overlay.necessary(rows, q.features[:3], q.types[:3].tolist(), 0.75).groupBy("reason").agg(F.count("*").alias("rows"))
+    rows, asked = _overlay_queries(spark, sf_dir)
+    return _united(overlay.necessary(rows, _anchors(q), 0.75) for q in asked).groupBy("query_id", "reason").agg(F.count("*").alias("rows"))
 
 
 # --- streams -------------------------------------------------------------------------------------------------------

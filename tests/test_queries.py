@@ -69,3 +69,25 @@ def test_staged_rerank_tries_all_pair_seeds(spark):
         query = Overlay(q["shape"], q["features"], q["types"], [1.5] * 3 + [1.0] * 18, (0, 1, 2))
         best = query.best(c["shape"], c["features"], c["types"], most=10_000)[OBJECTIVES[2]][0]
         assert r["score"] == pytest.approx(best, abs=1e-6)
+
+
+def test_overlay_queries_ask_every_twentieth_cloud(spark, tmp_path):
+    from cairnrank.operators import overlay
+    from cairnrank.plans import tables as T
+
+    asked = {r["gid"] for r in T.asked(T.vectors(spark, SF)).collect()}
+    n = T.vectors(spark, SF).count()
+    scores = QUERIES["overlay_scores"](spark, SF).collect()
+    assert len(asked) > 1 and len({(r["query_id"], r["gid"]) for r in scores}) == len(scores) == n * len(asked)
+    coarse = {(r["query_id"], r["gid"]): r["atomcentered_anchored_joint"] for r in scores}
+    fine = QUERIES["staged_rerank"](spark, SF).collect()
+    assert {r["query_id"] for r in fine} == asked and all(r["score"] >= coarse[r["query_id"], r["gid"]] - 1e-6 for r in fine)
+    sums = {}
+    for r in QUERIES["necessary_conditions"](spark, SF).collect():
+        sums[r["query_id"]] = sums.get(r["query_id"], 0) + r["rows"]
+    assert sums == dict.fromkeys(asked, n)
+    # a table without id 0, and blocks of one query
+    spark.read.parquet(f"{SF}/embeddings.parquet").filter("vec_id in (20, 40, 41)").write.parquet(f"{tmp_path}/embeddings.parquet")
+    for name in ("overlay_scores", "staged_rerank"):
+        assert {(r["query_id"], r["gid"]) for r in QUERIES[name](spark, str(tmp_path)).collect()} == {(q, g) for q in (20, 40) for g in (20, 40, 41)}
+    assert [list(b) for b in overlay.blocks(overlay.nested(T.clouds(spark, str(tmp_path))).orderBy("gid"), lambda r: None, 2)] == [[20, 40], [41]]
