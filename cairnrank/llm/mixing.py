@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnrank.llm import text as T
+from cairnrank.llm.skew import free_name
 from cairnrank.session import ship, staged
 
 WEIGHTS = (5, 2, 1)
@@ -185,12 +186,13 @@ def mixed_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     lists = pieces.groupBy("row").agg(F.collect_list(F.struct("turn", "first", "words")).alias("taken"))
     lists = texts.select("row", "doc_id", "mark").join(lists.hint("shuffle_merge"), "row").select("doc_id", "mark", F.transform("taken", lambda t: F.struct(F.col("row").alias("row"), t["turn"].alias("turn"), t["first"].alias("first"), t["words"].alias("words"))).alias("taken"))
     # rows that repeat an id and its text stand once, with the pieces of all
-    lists = lists.groupBy("doc_id", "mark").agg(F.flatten(F.collect_list("taken")).alias("_taken"), F.count("*").alias("_rows"))
-    lists = staged(lists.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "_taken", "_rows"), "taken")
-    own = docs.withColumn("_hash", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    full = own.join(lists, F.col(id_col).cast("bigint").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_mark")))
-    again = full.filter("_rows > 1").dropDuplicates(["_id", "_mark"])
-    full = full.filter("_rows = 1").unionByName(again).select(*docs.columns, "_taken")
+    lists = lists.groupBy("doc_id", "mark").agg(F.flatten(F.collect_list("taken")).alias("taken"), F.count("*").alias("rows"))
+    names = {c: free_name(f"_{c}", docs.columns) for c in ("doc_id", "mark", "taken", "rows", "hash")}
+    lists = staged(lists.withColumnsRenamed({c: names[c] for c in lists.columns}), "taken")
+    own = docs.withColumn(names["hash"], F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    full = own.join(lists, F.col(id_col).cast("bigint").eqNullSafe(F.col(names["doc_id"])) & (F.col(names["hash"]) == F.col(names["mark"])))
+    again = full.filter(F.col(names["rows"]) > 1).dropDuplicates([names["doc_id"], names["mark"]])
+    full = full.filter(F.col(names["rows"]) == 1).unionByName(again).select(*docs.columns, names["taken"])
     chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
     return full.mapInArrow(_pieced(docs.columns.index(text_col), chars), docs.schema)
 

@@ -4,7 +4,8 @@ A document's set is its distinct word shingles. Each set gets ``bands * rows`` r
 exponentially spaced points, on a logarithmic scale of base ``BASE``. Registers of a union are the maxima of registers,
 and two registers are equal with a probability close to the Jaccard similarity, so bands of them are hashed to buckets.
 Pairs that meet in a bucket are estimated by joint likelihood of the register order, and what may reach the threshold is
-confirmed on the full sets. With the defaults a pair at exactly 80 % is missed with a probability of 1.2e-7.
+confirmed on the full sets. With the defaults a pair at exactly 80 % is missed with a probability of 1.2e-7. Words enter
+a set by 64 bits of a cryptographic hash, so that texts can't be made to look alike.
 
 Work in a bucket is kept from growing with its square:
 
@@ -17,7 +18,8 @@ Work in a bucket is kept from growing with its square:
 
 So no link between different components is lost, and none within one is needed. Defined cases: no words or null text:
 the empty set, linked with nothing; fewer words than a shingle: all of them as one shingle; rows with the same doc_id
-are one document; a null doc_id has the component of its equals (null if it has none). An empty table gives an empty
+are one document: each row has its own set's size, and all have one component, which the sets of all of them join; a null
+doc_id has the component of its equals (null if it has none). An empty table gives an empty
 table. Columns other than id and text are not read.
 """
 
@@ -37,6 +39,8 @@ from cairnrank.session import ship, staged
 BASE, RATE, TOP = 1.001, 20.0, 65534
 #: Rows of a chunk; nats of likelihood by which a pair may miss the threshold; most ids that are broadcast.
 CHUNK, SLACK, MOST_IDS = 256, 12.0, 2_000_000
+#: Words whose hash a worker keeps; it changes no result.
+KEPT = 100_000
 _U = np.uint64
 _SKETCHED = "doc_id bigint, n bigint, sig binary, regs binary"
 
@@ -45,7 +49,9 @@ def sets_of(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarra
     """Sorted distinct shingle hashes of each row, and their row offsets."""
     data = T.LOWER[data]
     starts, ends, at = T.word_spans(data, offsets, ~T.SPACE)
-    words = T.word_hashes(data, starts, ends)
+    table = T.kept("digests", lambda: T.WordTable(T.digests, 1, np.uint64, KEPT))
+    rows = table.of(data, starts, ends)  # which may move the table's rows
+    words = table.rows[rows, 0]
     out, n = [], np.zeros(len(offsets), np.int64)
     for i in range(len(offsets) - 1):
         h = np.sort(T.shingles(words[at[i] : at[i + 1]], size))
@@ -121,7 +127,6 @@ def likely(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, least:
 
 def _sketched(size: int, m: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        T.forget()
         for batch in batches:
             for i, j, data, offsets in T.blocks(batch.column(1)):
                 flat, at = sets_of(data, offsets, size)
@@ -363,7 +368,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     items = sets(first.select(F.col("a").alias("rep")).union(first.select("b")))
     side = lambda x, y: items.select(F.col("rep").alias(x), F.col("cid").alias(f"c{x}"), F.col("items").alias(y))
     full = first.join(side("a", "one"), ["a", "ca"]).join(side("b", "two"), ["b", "cb"])
-    links = staged(full.select("a", "b", "one", "two").mapInArrow(_confirmed(percent), "a bigint, b bigint"), "links")
+    links = full.select("a", "b", "one", "two").mapInArrow(_confirmed(percent), "a bigint, b bigint")
+    # ids of several sets, which are one document
+    several = sketched.filter("doc_id is not null").groupBy("doc_id").agg((F.min("sig") < F.max("sig")).alias("several"))
+    several = staged(several.filter("several").select("doc_id"), "several")
+    if not (unique := several.isEmpty()):
+        own = sketched.filter("n > 0").select("doc_id", "sig").join(several, "doc_id", "left_semi").distinct()
+        links = links.unionByName(own.join(classes.select("sig", "rep"), "sig").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
+    links = staged(links, "links")
     label = components(links)
     # what is left: pairs across components, in buckets that hold several
     named = members.join(label.select(F.col("node").alias("rep"), F.col("component").alias("label")), "rep", "left")
@@ -386,6 +398,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = classes.select("sig", "rep", "size").join(label.withColumnRenamed("node", "rep"), "rep", "left").filter("size > 1 or component is not null")
     named = staged(named.select("sig", "size", F.coalesce("component", "rep").alias("component_id")), "named")
     out = join_groups(sketched.select("doc_id", "n", "sig"), named, ["sig"], "size", total, "left")
+    if not unique:  # rows without words too
+        ids = several.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("of_id"))
+        out = out.join(ids, "doc_id", "left").withColumn("component_id", F.coalesce("of_id", "component_id"))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 

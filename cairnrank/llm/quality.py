@@ -30,12 +30,14 @@ FILTERS, EMBED = 32, 8
 #: Labelled texts of a value, at most; chunks of a text, and steps, to learn from.
 SAMPLE, CHUNKS, STEPS, BATCH = 1200, 12, 700, 96
 PAD = 256
+#: Chunks that are made at once.
+SLAB = 512
 
 
 def chunks(data: np.ndarray) -> np.ndarray:
     """Chunks of a text, as rows of bytes; what is missing in the last is padding."""
     n = 1 + max(0, -(-(len(data) - CHUNK) // HOP))
-    padded = np.full((n - 1) * HOP + CHUNK, PAD, np.int64)
+    padded = np.full((n - 1) * HOP + CHUNK, PAD, np.int16)
     padded[: len(data)] = data
     return padded[np.arange(n)[:, None] * HOP + np.arange(CHUNK)[None, :]]
 
@@ -65,7 +67,7 @@ class Network:
         weigh = np.where(label == 1, 0.5 / label.mean(), 0.5 / (1 - label.mean()))
         some = [c[rng.permutation(len(c))[:CHUNKS]] for c in every]
         for k, c in enumerate(every):  # and a short cut of each, as texts can be short
-            cut = np.full((1, CHUNK), PAD)
+            cut = np.full((1, CHUNK), PAD, np.int16)
             size, low = int(rng.integers(12, 200)), int(rng.integers(0, CHUNK // 2))
             part = c[rng.integers(len(c))][low : low + size]
             cut[0, : len(part)] = part
@@ -116,7 +118,7 @@ class Network:
         """Logits of chunks."""
         out = np.empty(len(rows))
         for low in range(0, len(rows), 64):
-            x = rows[low : low + 64]
+            x = rows[low : low + 64].astype(np.intp)
             n = (CHUNK - WIDTH) // STRIDE + 1
             total = self.table[0][x[:, : n * STRIDE : STRIDE]]
             for w in range(1, WIDTH):
@@ -133,9 +135,18 @@ class Network:
         """Probabilities of the texts of a block."""
         if self.table is None:
             return np.full(len(offsets) - 1, self.share)
-        every = [chunks(data[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-        at = np.cumsum([0, *map(len, every)])
-        logit = self.logits(np.concatenate(every))
+        count, parts, held, size = [], [], [], 0
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            count.append(1 + max(0, -(-(b - a - CHUNK) // HOP)))
+            for low in range(0, count[-1], SLAB):  # a long text is cut where chunks begin
+                more = min(SLAB, count[-1] - low)
+                held.append(chunks(data[a + low * HOP : min(b, a + (low + more - 1) * HOP + CHUNK)]))
+                size += more
+                if size >= SLAB:
+                    parts.append(self.logits(np.concatenate(held)))
+                    held, size = [], 0
+        logit = np.concatenate([*parts, *([self.logits(np.concatenate(held))] if held else [])])
+        at = np.cumsum([0, *count])
         a = np.stack([np.add.reduceat(logit, at[:-1]) / np.diff(at), np.maximum.reduceat(logit, at[:-1]), np.minimum.reduceat(logit, at[:-1])], axis=1)
         return _sigmoid((a - self.mean) / self.scale @ self.beta[:-1] + self.beta[-1])
 

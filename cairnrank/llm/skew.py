@@ -15,6 +15,13 @@ from cairnrank.session import staged
 HOT_SHARE = 1000
 
 
+def free_name(name: str, columns: list[str]) -> str:
+    """``name``, with as many underscores as none of ``columns`` has it."""
+    while name.lower() in map(str.lower, columns):
+        name += "_"
+    return name
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str, total: int, how: str = "inner") -> DataFrame:
     """Join each row to its group's one row in ``groups``, whose ``size`` column counts rows among ``total``.
 
@@ -74,5 +81,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         edges = small
         if counts["n"] == counts["leaves"] and small.join(small.select(F.col("b").alias("a")), "a", "left_semi").isEmpty():
             break
+    else:
+        raise RuntimeError(f"components did not converge in {rounds} rounds")
     centres = edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
     return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(centres)

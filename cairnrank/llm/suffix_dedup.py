@@ -6,11 +6,12 @@ match crosses texts. The work is exact and in these steps:
 1. Parse: in every window of ``length`` bytes the least hash of its ``length // 3``-byte substrings is its anchor.
    Windows with the same anchor place form a phrase: the bytes that they span. Equal windows have equal anchors, so only
    phrases with equal anchors can share a window.
-2. Phrases that are equal, and all phrases of an anchor that has one phrase only, repeat as a whole.
-3. The other distinct phrases, whole anchors together, are indexed by tasks of bounded size: suffix array, runs of the
-   Burrows-Wheeler transform, match lengths sampled at run heads and ends. Streaming over the text, the matching
-   statistic of a place is the last sample less the distance from it; windows of at least ``length`` are marked.
-4. An anchor with more phrases than one task should hold has its windows counted by hash instead, with map-side sums.
+2. Copies of a phrase (by anchor and 64 bits of BLAKE2b) repeat as a whole: they are told by their number, and one of them
+   goes on, unless it is its anchor's only phrase.
+3. The distinct phrases, whole anchors together, are indexed by tasks of bounded size (``RunIndex``): runs of the
+   Burrows-Wheeler transform and match lengths sampled at their ends. Streaming over the text, the matching statistic of
+   a place is the last sample less the distance from it; windows of at least ``length`` are marked.
+4. An anchor with more phrases than one task should hold has its windows counted by BLAKE2b instead, with map-side sums.
 
 Defined cases: null and empty texts, and those shorter than ``length``, lose nothing; repeated rows are copies of each
 other. An empty table gives an empty table. Columns other than id and text are not read.
@@ -59,7 +60,9 @@ def parse(data: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, ...]]:
         new = np.flatnonzero(least[1:] != least[:-1]) + 1
         low, high = np.concatenate([[0], new]), np.concatenate([new, [len(least)]]) - 1
         anchor = h[(least[low] & _U((1 << _PLACE) - 1)).astype(np.int64)]
-        yield anchor, T.span_hash(p, low, high + length), low + begin, high + begin
+        raw = seg.tobytes()
+        phrase = T.digests([raw[a:b] for a, b in zip(low.tolist(), (high + length).tolist(), strict=True)])[:, 0]
+        yield anchor, phrase, low + begin, high + begin
 
 
 def _parsed(length: int) -> Callable:
@@ -115,46 +118,66 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     return order
 
 
-def matching_statistics(s: np.ndarray) -> np.ndarray:
-    """For each place of ``s``, the longest string there that also starts elsewhere, from samples at run ends."""
-    n = len(s)
-    order = suffix_array(s)
-    before = s[order - 1].astype(np.int64)
-    before[(order == 0) | (before == 0)] = -1  # each its own symbol
-    head = np.ones(n, bool)
-    head[1:] = (before[1:] != before[:-1]) | (before[1:] < 0)
-    tail = np.concatenate([head[1:], [True]])
-    value = s.astype(np.uint64)
-    value[s == 0] = _U(1000) + np.arange(int((s == 0).sum()), dtype=np.uint64)
-    p = np.zeros(n + 1, np.uint64)
-    up, down = T.powers(n + 1)
-    np.cumsum(T.mix(value) * up[:n], out=p[1:])
-
-    def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Lengths of common prefixes."""
-        low, most = np.zeros(len(a), np.int64), n - np.maximum(a, b)
-        step = 1 << (int(most.max(initial=1)).bit_length() - 1)
-        if (s == 0).sum() > 1:  # no match is longer than the longest string
-            gaps = np.diff(np.flatnonzero(s == 0), prepend=-1)
-            step = 1 << (int(gaps.max()).bit_length() - 1)
-        while step:
-            ok = np.flatnonzero(low + step <= most)
-            x, y, z = a[ok], b[ok], low[ok] + step
-            same = (p[x + z] - p[x]) * down[x] == (p[y + z] - p[y]) * down[y]
-            low[ok[same]] += step
-            step >>= 1
-        return low
-
-    out = np.zeros(n, np.int64)
-    for ends, other in ((head, -1), (tail, 1)):
-        i = np.flatnonzero(ends)
-        sample = np.full(n, -1, np.int64)
-        inner = i[(i + other >= 0) & (i + other < n)]
-        sample[order[i]] = 0
-        sample[order[inner]] = common(order[inner], order[inner + other])
-        last = np.maximum.accumulate(np.where(sample >= 0, np.arange(n), 0))
-        out = np.maximum(out, sample[last] - (np.arange(n) - last))
-    return out
+class RunIndex:
+    """Run-compressed Burrows-Wheeler transform of byte strings, with samples at the ends of its runs.
+
+    ``s`` has bytes plus one, and a 0, a symbol of its own, behind each string. Kept are the symbol and length of each run, and for the
+    first and the last suffix of each run its place in the text and the length of what it shares with the suffix beyond
+    that end; suffixes inside a run follow from these. Shared lengths of ``exact`` or more are confirmed byte by byte.
+    """
+
+    def __init__(self, s: np.ndarray, exact: int):
+        n = len(s)
+        order = suffix_array(s)
+        before = s[order - 1].astype(np.int64)
+        before[(order == 0) | (before == 0)] = -1  # each its own symbol
+        head = np.ones(n, bool)
+        head[1:] = (before[1:] != before[:-1]) | (before[1:] < 0)
+        first = np.flatnonzero(head)
+        last = np.append(first[1:], n) - 1
+        self.size, self.symbol, self.length = n, before[first], last - first + 1
+        value = s.astype(np.uint64)
+        value[s == 0] = _U(1000) + np.arange(int((s == 0).sum()), dtype=np.uint64)
+        p = np.zeros(n + 1, np.uint64)
+        up, down = T.powers(n + 1)
+        np.cumsum(T.mix(value) * up[:n], out=p[1:])
+        ends = np.flatnonzero(s == 0)
+        longest = int(np.diff(ends, prepend=-1).max(initial=1))
+        stop = ends[np.searchsorted(ends, np.arange(n))] if n else ends  # no match goes beyond the string's end
+        raw = np.where(s > 0, s - 1, 0).astype(np.uint8)
+
+        def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            """Lengths of common prefixes."""
+            low, most = np.zeros(len(a), np.int64), np.minimum(stop[a] - a, stop[b] - b)
+            step = 1 << (longest.bit_length() - 1)
+            while step:
+                ok = np.flatnonzero(low + step <= most)
+                x, y, z = a[ok], b[ok], low[ok] + step
+                same = (p[x + z] - p[x]) * down[x] == (p[y + z] - p[y]) * down[y]
+                low[ok[same]] += step
+                step >>= 1
+            far = np.flatnonzero(low >= exact)
+            for k in far[~T.same_spans(raw, a[far], b[far], low[far])].tolist():  # equal hashes of unlike bytes
+                m = int(low[k])
+                low[k] = int(np.argmax(raw[a[k] : a[k] + m] != raw[b[k] : b[k] + m]))
+            return low
+
+        #: (places in the text, in order; lengths shared there), for first and for last suffixes.
+        self.samples = []
+        for i, other in ((first, -1), (last, 1)):
+            shared = np.zeros(len(i), np.int64)
+            inner = (i + other >= 0) & (i + other < n)
+            shared[inner] = common(order[i[inner]], order[i[inner] + other])
+            place = order[i]
+            sort = np.argsort(place)
+            self.samples.append((place[sort], shared[sort]))
+
+    def statistics(self) -> np.ndarray:
+        """For each place, the longest string there that also starts elsewhere, streamed from sample to sample."""
+        out = np.zeros(self.size, np.int64)
+        for place, shared in self.samples:  # the text's first place is always one
+            np.maximum(out, np.repeat(place + shared, np.diff(place, append=self.size)) - np.arange(self.size), out=out)
+        return out
 
 
 def repeated_starts(phrases: list[np.ndarray], length: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -164,7 +187,7 @@ def repeated_starts(phrases: list[np.ndarray], length: int) -> list[tuple[np.nda
     s = np.zeros(begin[-1], np.int16)
     for b, x in zip(begin, phrases, strict=False):
         s[b : b + len(x)] = x.astype(np.int16) + 1
-    hit = np.concatenate([[False], matching_statistics(s) >= length, [False]])
+    hit = np.concatenate([[False], RunIndex(s, length).statistics() >= length, [False]])
     edge = hit[1:] != hit[:-1]
     at = np.flatnonzero(edge)
     first, last = at[::2], at[1::2] - 1
@@ -232,9 +255,9 @@ def _windows(length: int) -> Callable:
             data, at = T.buffers(batch.column(5))
             low = batch.column(4).to_numpy()
             for k in range(batch.num_rows):
-                p = T.prefix(data[at[k] : at[k + 1]])
-                i = np.arange(len(p) - length)
-                h = T.span_hash(p, i, i + length).view(np.int64)
+                raw = data[at[k] : at[k + 1]].tobytes()
+                i = np.arange(len(raw) - length + 1)
+                h = T.digests([raw[x : x + length] for x in i.tolist()])[:, 0].view(np.int64)
                 fixed = [batch.column(c).take(pa.array(np.full(len(i), k))) for c in range(4)]
                 yield pa.RecordBatch.from_arrays([*fixed, pa.array(low[k] + i), pa.array(h)], names=["anchor", "copies", "doc_id", "mark", "at", "window"])
 

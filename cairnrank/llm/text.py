@@ -1,12 +1,14 @@
 """Byte-level kernels over Arrow string columns: blocks, word spans, word and shingle hashes.
 
-All work on whole texts. A block is a run of rows of at most ``BLOCK`` bytes (one row if it is longer), so
+The quick hash of a span only gathers what may be equal: whoever calls two spans equal compares their bytes
+(``same_spans``) or takes a cryptographic hash (``digests``). All work on whole texts. A block is a run of rows of at most ``BLOCK`` bytes (one row if it is longer), so
 temporary arrays stay small whatever the batch size.
 """
 
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +21,9 @@ _BASE = 0x9E3779B97F4A7C15
 _MIX1, _MIX2 = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
 _STEP = _U(0x9E3779B97F4A7C15)
 _COMBINE = _U(0xD1342543DE82EF95)
+#: Bytes from which spans are compared one by one; the first k of eight bytes.
+LONG = 4096
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 #: Bytes that separate words: space and 09-0D.
 SPACE = np.zeros(256, bool)
@@ -125,8 +130,33 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tup
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
 
 
+def same_spans(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the ``size`` bytes at ``a`` and at ``b`` are equal, for each pair of places: eight bytes at a time."""
+    out = np.ones(len(a), bool)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))  # the eight bytes from each place on
+    live, done = np.flatnonzero((a != b) & (size > 0)), 0
+    while len(live):
+        if done == LONG:  # few are as long as that
+            for k in live.tolist():
+                x, y, n = int(a[k]), int(b[k]), int(size[k])
+                out[k] = bool((data[x + done : x + n] == data[y + done : y + n]).all())
+            break
+        differ = eight[a[live] + done] ^ eight[b[live] + done]
+        differ &= _FIRST[np.minimum(size[live] - done, 8)]
+        out[live[differ != 0]] = False
+        live = live[(differ == 0) & (size[live] - done > 8)]
+        done += 8
+    return out
+
+
+def digests(words: list[bytes]) -> np.ndarray:
+    """64 bits of BLAKE2b for each byte string, as a column: what no text can be made to collide in."""
+    return np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=8).digest() for w in words), "<u8")[:, None]
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of words; long data is hashed by segments."""
+    """Quick 64-bit hashes of words; long data is hashed by segments."""
     out = np.empty(len(starts), np.uint64)
     i = 0
     while i < len(starts):
@@ -223,4 +253,11 @@ class WordTable:
         _, first, inverse = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
         raw = data.tobytes()
         words = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        size, one = ends - starts, first[inverse]
+        same = (size == size[one]) & same_spans(data, starts, starts[one], np.minimum(size, size[one]))
+        if not same.all():  # equal hashes of unlike words
+            more: dict[bytes, int] = {}
+            for k in np.flatnonzero(~same).tolist():
+                inverse[k] = len(first) + more.setdefault(raw[starts[k] : ends[k]], len(more))
+            words += more
         return self.look_up(words)[inverse]

@@ -1,14 +1,16 @@
 """Toxicity by the nearest labelled examples, by exact TF-IDF cosine from a block-max inverted index.
 
-A bounded sample of labelled texts is the index. Its vocabulary is the terms (words, and their first bytes) whose presence is tied to the
-label beyond chance (|z| of ``LEAST_Z`` or more, at most ``MOST_WORDS`` of them), so a text's length and topic don't hide what matters.
-Each posting list carries its greatest weight in every range of ``RANGE`` examples. A text's nearest ``NEAREST`` examples are
-found exactly: ranges are taken by descending bound (its weights times those maxima) until no bound reaches the last
-neighbour held. Votes weigh by distance, and their share is turned into a probability fitted on the sample itself, each
-example scored without itself, weighted to the label's share among all labelled rows. Evidence: the nearest examples'
-ids, similarities and labels.
-
-Defined cases: null and empty texts, and those with no word of the vocabulary, get the share of toxic examples among such
+A bounded sample of labelled texts is the index. Terms are words and their first bytes, of several lengths, as words vary in
+their endings. The vocabulary has the terms whose presence is tied to the label beyond chance (|z| of some least value, at
+most ``MOST_WORDS`` of them), so a text's length and topic don't hide what matters; all other terms of a text are one term
+of a fixed weight, ``OTHER``, which keeps a single chance hit in a text apart from many. The least |z| is chosen from ``LEAST_Z`` by
+the loss of each half of the sample under an index of the other. Each posting list carries its greatest weight in every
+range of ``RANGE`` examples. A text's nearest ``NEAREST`` examples are found exactly: ranges are taken by descending bound
+(its weights times those maxima) until no bound reaches the last neighbour held. Votes weigh by distance, and their share
+is turned into a probability fitted on the sample itself, each example scored without itself, weighted to the label's
+share among all labelled rows. Evidence: the nearest examples' ids, similarities and labels.
+
+Defined cases: null and empty texts, and those with no term of the vocabulary, get the share of toxic examples among such
 examples; ties go to the lower doc_id; repeated rows are each scored. An empty table gives an empty table; without
 labels, or with one value only, all texts get that share. Labels, language, source and id are no inputs of a score.
 """
@@ -27,25 +29,35 @@ from cairnrank.llm.decontaminate import words_of
 from cairnrank.llm.training import held_out, sample
 from cairnrank.session import ship
 
-#: Examples of a label value, at most; neighbours; examples of a range; terms of the vocabulary; their least |z|; evidence
-#: given; bytes of a stem.
-SAMPLE, NEAREST, RANGE, MOST_WORDS, LEAST_Z, EVIDENCE, STEM = 1500, 15, 64, 4096, 6.0, 3, 4
+#: Examples of a label value, at most; neighbours; examples of a range; terms of the vocabulary; evidence given; words whose
+#: terms a worker keeps.
+SAMPLE, NEAREST, RANGE, MOST_WORDS, EVIDENCE, KEPT = 3000, 31, 64, 4096, 3, 100_000
+#: Least |z| of a term, one of which is chosen; weight of all other terms of a text; bytes of the stems.
+LEAST_Z, OTHER, STEMS = (5.0, 6.0, 8.0), 6.0, range(3, 9)
+#: The term that stands for all others; no word is empty.
+REST = b""
+
+
+def terms_of_word(word: bytes) -> list[bytes]:
+    """A word, and behind a mark its beginnings of each length in ``STEMS``."""
+    return [word, *(b"^" + word[:n] for n in STEMS if n < len(word))]
 
 
 def terms_of(text: bytes) -> list[bytes]:
-    """Words, and for each its first ``STEM`` bytes behind a mark (as words vary in their endings)."""
-    words = words_of(text)
-    return words + [b"^" + w[:STEM] for w in words]
+    return [t for w in words_of(text) for t in terms_of_word(w)]
 
 
 class Index:
     """Block-max inverted index of the examples, with the fitted probability."""
 
-    def __init__(self, rows: list[tuple], share: float):
-        rows = sorted(rows)
+    def __init__(self, rows: list[tuple], share: float, least: float | None = None, bags: list[Counter] | None = None):
+        order = sorted(range(len(rows)), key=rows.__getitem__)
+        bags = bags or [Counter(terms_of((r[1] or "").encode())) for r in rows]
+        rows, bags = [rows[k] for k in order], [bags[k] for k in order]
         self.ids = np.array([r[0] for r in rows], np.int64)
         self.label = np.array([r[2] for r in rows], np.int64)
-        bags = [Counter(terms_of((r[1] or "").encode())) for r in rows]
+        self.known: dict[bytes, list[int]] = {}
+        self.least = chosen(rows, bags, share) if least is None else least
         n, toxic = len(rows), int(self.label.sum())
         yes, no = Counter(), Counter()
         for bag, y in zip(bags, self.label.tolist(), strict=True):
@@ -56,31 +68,50 @@ class Index:
             p = (a + b) / n
             if toxic and n - toxic and 0 < p < 1:
                 z = abs(a / toxic - b / (n - toxic)) / (p * (1 - p) * (1 / toxic + 1 / (n - toxic))) ** 0.5
-                if z >= LEAST_Z:
+                if z >= self.least:
                     found.append((-z, w))
         self.vocab = {w: k for k, (_, w) in enumerate(sorted(found)[:MOST_WORDS])}
-        self.idf = np.array([np.log((n + 1) / (yes[w] + no[w])) for w in self.vocab])
+        self.vocab[REST] = len(self.vocab)
+        self.idf = np.array([np.log((n + 1) / (yes[w] + no[w])) if w else 0.0 for w in self.vocab])
         lists: list[list[tuple[int, float]]] = [[] for _ in self.vocab]
         vectors = []
         for k, bag in enumerate(bags):
             vectors.append(self.vector(bag))
             for t, x in zip(*vectors[-1], strict=True):
                 lists[t].append((k, x))
-        self.at = np.cumsum([0, *map(len, lists)])
+        at = np.cumsum([0, *map(len, lists)])
         self.post = np.array([k for x in lists for k, _ in x], np.int64)
         self.weight = np.array([x for y in lists for _, x in y])
         self.ranges = -(-n // RANGE)
         self.most = np.zeros((len(self.vocab), self.ranges))
-        np.maximum.at(self.most, (np.repeat(np.arange(len(lists)), np.diff(self.at)), self.post // RANGE), self.weight)
+        np.maximum.at(self.most, (np.repeat(np.arange(len(lists)), np.diff(at)), self.post // RANGE), self.weight)
+        #: Where the postings of each term in each range begin.
+        self.cut = np.stack([low + np.searchsorted(self.post[low:high], np.arange(self.ranges + 1) * RANGE) for low, high in zip(at, at[1:], strict=False)])
         self._fit(vectors, share)
 
     def vector(self, bag: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-        """Terms and unit-length TF-IDF weights of a bag of words."""
-        got = sorted((self.vocab[w], c) for w, c in bag.items() if w in self.vocab)
-        t = np.array([k for k, _ in got], np.int64)
-        x = np.log1p(np.array([c for _, c in got], float)) * self.idf[t]
-        size = np.sqrt((x * x).sum())
-        return t, x / size if size else x
+        """Terms and unit-length TF-IDF weights of a bag of terms; none if it has no term of the vocabulary."""
+        return self._weighed({self.vocab[w]: c for w, c in bag.items() if w in self.vocab})
+
+    def _weighed(self, count: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        if not count:
+            return np.zeros(0, np.int64), np.zeros(0)
+        t = np.array(sorted(count), np.int64)
+        x = np.log1p(np.array([count[k] for k in t.tolist()], float)) * self.idf[t]
+        t, x = np.append(t, self.vocab[REST]), np.append(x, OTHER)
+        return t, x / np.sqrt((x * x).sum())
+
+    def of_text(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """``vector`` of a text's terms; those of each word are looked up once."""
+        if len(self.known) > KEPT:
+            self.known.clear()
+        count: dict[int, int] = {}
+        for word, times in Counter(words_of(text)).items():
+            if (own := self.known.get(word)) is None:
+                own = self.known[word] = [self.vocab[t] for t in terms_of_word(word) if t in self.vocab]
+            for k in own:
+                count[k] = count.get(k, 0) + times
+        return self._weighed(count)
 
     def nearest(self, t: np.ndarray, x: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The nearest examples with a similarity over 0 (all but ``without``), and their similarities."""
@@ -90,19 +121,17 @@ class Index:
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         near, score, done = np.zeros(0, np.int64), np.zeros(0), 0
-        lists = [(self.post[self.at[k] : self.at[k + 1]], self.weight[self.at[k] : self.at[k + 1]]) for k in t.tolist()]
         while done < len(order):
             if len(near) == NEAREST and bound[order[done]] < score[-1] - 1e-12:
                 break
             # a few ranges at once; exact sums of their postings
             take = order[done : done + 8]
             done += len(take)
-            value = np.zeros(len(take) * RANGE)
-            for k, r in enumerate(take.tolist()):
-                low = r * RANGE
-                for (post, weight), q in zip(lists, x.tolist(), strict=True):
-                    a, b = np.searchsorted(post, (low, low + RANGE))
-                    value[k * RANGE + post[a:b] - low] += q * weight[a:b]
+            a = self.cut[t[:, None], take]
+            size = (self.cut[t[:, None], take + 1] - a).ravel()
+            place = np.repeat(a.ravel() + size - np.cumsum(size), size) + np.arange(size.sum())
+            slot = np.repeat(np.tile(np.arange(len(take)) * RANGE, len(t)), size) + self.post[place] % RANGE
+            value = np.bincount(slot, np.repeat(np.repeat(x, len(take)), size) * self.weight[place], len(take) * RANGE)
             there = np.flatnonzero(value > 0)
             who = take[there // RANGE] * RANGE + there % RANGE
             there, who = there[who != without], who[who != without]
@@ -140,15 +169,38 @@ class Index:
                 self.beta += np.linalg.solve(h, a.T @ (w * (y - p)) - 0.05 * self.beta)
 
     def score(self, text: bytes) -> tuple[float, list[dict]]:
-        vocab = self.vocab
-        hits = [w for w in terms_of(text) if w in vocab]
-        t, x = self.vector(Counter(hits))
+        p, near, score = self.judged(*self.of_text(text))
+        pick = zip(near[:EVIDENCE].tolist(), score[:EVIDENCE].tolist(), strict=True)
+        return p, [{"doc_id": int(self.ids[k]), "similarity": s, "toxic": int(self.label[k])} for k, s in pick]
+
+    def judged(self, t: np.ndarray, x: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Probability, neighbours and similarities of a vector."""
         near, score = self.nearest(t, x)
         if not len(near):
-            return self.base, []
-        p = 1 / (1 + np.exp(-np.dot(self.features(self.label[near], score), self.beta)))
-        pick = zip(near[:EVIDENCE].tolist(), score[:EVIDENCE].tolist(), strict=True)
-        return float(p), [{"doc_id": int(self.ids[k]), "similarity": s, "toxic": int(self.label[k])} for k, s in pick]
+            return self.base, near, score
+        return float(1 / (1 + np.exp(-np.dot(self.features(self.label[near], score), self.beta)))), near, score
+
+
+def chosen(rows: list[tuple], bags: list[Counter], share: float) -> float:
+    """The least |z| under which each half of the examples foretells the labels of the other best."""
+    label = np.array([r[2] for r in rows])
+    if len(rows) < 4 or not 0 < label.mean() < 1:
+        return LEAST_Z[-1]
+    part = np.zeros(len(rows), np.int64)
+    for y in (0, 1):  # every second one of each value
+        part[label == y] = np.arange((label == y).sum()) % 2
+    weigh = np.where(label == 1, share / label.mean(), (1 - share) / (1 - label.mean()))
+    loss = []
+    for least in LEAST_Z:
+        total = 0.0
+        for k in (0, 1):
+            fit, rest = np.flatnonzero(part != k).tolist(), np.flatnonzero(part == k).tolist()
+            index = Index([rows[i] for i in fit], share, least, [bags[i] for i in fit])
+            for i in rest:
+                p = np.clip(index.judged(*index.vector(bags[i]))[0], 1e-4, 1 - 1e-4)
+                total -= weigh[i] * np.log(p if label[i] else 1 - p)
+        loss.append(total)
+    return LEAST_Z[int(np.argmin(loss))]
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Index:

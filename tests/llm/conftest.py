@@ -21,6 +21,15 @@ def spark():
     )
 
 
+@pytest.fixture(scope="session")
+def thue_morse():
+    """Two unlike words of 2,048 letters, which polynomials modulo 2**64 hash alike whatever their base."""
+    a = "a"
+    while len(a) < 2048:
+        a += a.translate(str.maketrans("ab", "ba"))
+    return [a, a.translate(str.maketrans("ab", "ba"))]
+
+
 @pytest.fixture
 def docs(spark):
     """Documents with nulls, empties, repeats and an extra column whose name clashes with inner ones."""

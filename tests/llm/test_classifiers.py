@@ -24,13 +24,15 @@ def test_nearest_examples_are_exact():
         y = rng.random() < 0.3
         rows.append((k, " ".join(rng.choices(words[25 if y else 0 :], k=rng.randint(0, 12))), int(y)))
     index = X.Index(rows, 0.3)
-    assert len(index.vocab) > 3
+    assert len(index.vocab) > 3 and index.least in X.LEAST_Z
     vectors = np.zeros((len(rows), len(index.vocab)))
     for k, r in enumerate(rows):
         t, x = index.vector(X.Counter(X.terms_of(r[1].encode())))
         vectors[k, t] = x
     for k in range(0, 1500, 17):
-        t, x = index.vector(X.Counter(X.terms_of(rows[k][1].encode())))
+        t, x = index.of_text(rows[k][1].encode())
+        same = index.vector(X.Counter(X.terms_of(rows[k][1].encode())))
+        assert (t == same[0]).all() and (x == same[1]).all()
         near, score = index.nearest(t, x, k)
         value = np.round(vectors @ vectors[k], 12)
         value[k] = 0
@@ -52,10 +54,34 @@ def test_toxicity_of_odd_texts(docs, tables):
 def test_toxicity_query(spark, tables):
     got = X.op1_toxicity(spark, SF).join(tables[1], "doc_id").filter("held_out").collect()
     right = sum(r["predicted"] == r["toxic"] for r in got)
-    assert right / len(got) > 0.93 and sum(r["predicted"] and r["toxic"] for r in got) > 0
+    assert right / len(got) > 0.95 and sum(r["predicted"] and r["toxic"] for r in got) >= 0.8 * sum(r["toxic"] for r in got)
     assert all(e["similarity"] > 0 for r in got for e in r["evidence"])
 
 
+def test_toxicity_finds_nine_of_ten(spark):
+    """Held-out rows of the larger table; 9 of the 144 toxic texts have no term of the vocabulary."""
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    got = X.op1_toxicity(spark, sf).join(labels, "doc_id").filter("held_out").collect()
+    toxic = [r for r in got if r["toxic"]]
+    assert len(toxic) == 144 and sum(r["predicted"] for r in toxic) >= 0.9 * len(toxic)
+    assert sum(r["predicted"] for r in got if not r["toxic"]) <= 0.01 * (len(got) - len(toxic))
+
+
+def test_very_long_texts(spark, docs, tables):
+    """Texts of over 4 MiB, beyond any block: the whole of them counts."""
+    long = "good words and more " * 230_000
+    network, index = Q.train(*tables), X.train(*tables)
+    data = np.frombuffer((long + "BAD!!! " * 9).encode(), np.uint8)
+    logit = np.concatenate([network.logits(Q.chunks(data)[k : k + 1000]) for k in range(0, len(data) // Q.HOP + 1, 1000)])
+    a = (np.array(network.pooled(logit)) - network.mean) / network.scale
+    assert np.isclose(network.scores(data, np.array([0, len(data)]))[0], Q._sigmoid(a @ network.beta[:-1] + network.beta[-1]))
+    rows = docs([(0, long), (1, long + "idiot moron scum " * 50)])
+    assert len(Q.quality(rows, network).collect()) == 2
+    calm, rude = (r["score"] for r in sorted(X.toxicity(rows, index).collect()))
+    assert calm < rude
+
+
 def test_quality_of_odd_texts(docs, tables):
     network = Q.train(*tables)
     got = Q.quality(docs(ODD), network).collect()

@@ -53,6 +53,13 @@ def test_documents(spark):
     assert {(r["doc_id"], r["source"]) for r in out} <= whole and all(r["n_chars"] == len(r["text"]) for r in out)
 
 
+def test_columns_with_names_of_its_own(spark):
+    rows = [(k, f"word{k} " * 90, "ab"[k % 2], "h", "i", "m", "t", "r") for k in range(30)]
+    docs = spark.createDataFrame([*rows, rows[0]], "doc_id bigint, text string, source string, _HASH string, _doc_id string, _mark string, _taken string, _rows string")
+    got = mixed_documents(docs).collect()
+    assert got[0].asDict().keys() == set(docs.columns) and {tuple(r)[3:] for r in got} == {("h", "i", "m", "t", "r")}
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id int, text string, source string")
     texts, pieces = mix(docs)

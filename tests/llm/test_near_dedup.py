@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from cairnrank.llm import near_dedup as N
+from cairnrank.llm.skew import components
 
 
 def brute(rows, size, percent=80):
@@ -68,6 +69,29 @@ def test_registers_are_mergeable_and_estimate_similarity():
     assert not ok[0]
 
 
+def test_ids_of_several_texts_are_one_document(docs):
+    one, two = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
+    rows = [(3, one), (10, one), (10, two), (12, two), (12, ""), (14, "alone"), (None, two), (16, None), (16, "")]
+    got = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"], r["kept"]) for r in N.near_groups(docs(rows), shingle=2).collect())
+    assert got == [
+        (0, 29, 3, False), (3, 29, 3, True), (10, 29, 3, False), (10, 29, 3, False), (12, 0, 3, False), (12, 29, 3, False), (14, 1, 14, True), (16, 0, 16, True), (16, 0, 16, True)
+    ]
+
+
+def test_words_that_a_polynomial_hash_takes_for_equal(docs, thue_morse):
+    a, b = thue_morse
+    texts = [a, b, f"{a} x", f"{b} x", f"x {a} {b}", f"x {b} {a}", f"{a} x"]
+    got = {r["doc_id"]: r["component_id"] for r in N.near_groups(docs(list(enumerate(texts))), shingle=2).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 2}
+
+
+def test_components_that_do_not_converge(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(200)], "a bigint, b bigint").repartition(7)
+    assert {r["component"] for r in components(edges).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        components(edges, rounds=0)
+
+
 def test_empty_table(docs):
     assert N.near_groups(docs([])).collect() == []
 

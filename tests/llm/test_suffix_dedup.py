@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from cairnrank.llm.suffix_dedup import op3_suffix_dedup, repeated_starts, without_repeats
+from cairnrank.llm.suffix_dedup import RunIndex, op3_suffix_dedup, repeated_starts, without_repeats
 
 
 def brute(texts, length):
@@ -33,6 +33,19 @@ def test_index_finds_what_repeats(alphabet):
             assert got == {i for i in range(len(t) - 4) if seen[t[i : i + 5]] > 1}
 
 
+def test_index_is_compressed_and_confirms_bytes(thue_morse):
+    text = (b"some words that come again and again, " * 40)
+    s = np.frombuffer(text, np.uint8).astype(np.int16) + 1
+    index = RunIndex(np.append(s, 0).astype(np.int16), 20)
+    assert index.length.sum() == len(s) + 1 and 10 * len(index.symbol) < len(s)
+    # strings that differ but have equal polynomial hashes
+    a, b = (x.encode() for x in thue_morse)
+    texts = [b"x" * 9 + a, b"y" * 9 + b, a[:900] + b"z"]
+    for t, (lo, hi) in zip(texts, repeated_starts([np.frombuffer(t, np.uint8) for t in texts], 600), strict=True):
+        seen = Counter(u[i : i + 600] for u in texts for i in range(len(u) - 599))
+        assert {i for x, y in zip(lo, hi, strict=True) for i in range(x, y + 1)} == {i for i in range(len(t) - 599) if seen[t[i : i + 600]] > 1}
+
+
 @pytest.mark.parametrize("most_phrases", [8192, 2])
 def test_against_brute_force(docs, most_phrases):
     rng = random.Random(3)

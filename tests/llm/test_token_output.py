@@ -38,6 +38,25 @@ def test_encoder_agrees(direct):
         assert ids.tolist() == [x for t in (ODD * 2)[i:j] for x in direct(t)] and count.sum() == len(ids)
 
 
+def test_words_that_a_polynomial_hash_takes_for_equal(direct, thue_morse):
+    texts = [*thue_morse, " ".join(thue_morse), " ".join(thue_morse[::-1])]
+    (_, _, data, offsets), = T.blocks(pa.array(texts))
+    starts, ends, _ = T.word_spans(data, offsets, ~T.SPACE)
+    assert len(np.unique(T.word_hashes(data, starts, ends))) == 1
+    ids, count = Encoder(PATH, 1).encode(data, offsets)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(count)[:-1])] == [direct(t) for t in texts]
+
+
+def test_equal_spans():
+    rng = np.random.default_rng(4)
+    data = rng.integers(0, 2, 30_000, dtype=np.uint8)
+    data[15_000:27_000] = data[:12_000]
+    a, size = rng.integers(0, 14_000, 500), rng.choice([0, 1, 7, 8, 9, 16, 300, 4096, 5000, 11_000], 500)
+    b = np.where(rng.random(500) < 0.6, np.minimum(a + 15_000, 30_000 - size), rng.integers(0, 19_000, 500))
+    want = [data[x : x + n].tobytes() == data[y : y + n].tobytes() for x, y, n in zip(a, b, size, strict=True)]
+    assert T.same_spans(data, a, b, size).tolist() == want and 100 < sum(want) < 450
+
+
 def test_small_table_changes_nothing(direct):
     e = Encoder(PATH, 1, 3)
     for text in ["a b c d e", "a a f g", "b c", "h i j a"] * 3:
