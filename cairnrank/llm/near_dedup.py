@@ -4,8 +4,8 @@ A document's set is its distinct word shingles. Each set gets ``bands * rows`` r
 exponentially spaced points, on a logarithmic scale of base ``BASE``. Registers of a union are the maxima of registers,
 and two registers are equal with a probability close to the Jaccard similarity, so bands of them are hashed to buckets.
 Pairs that meet in a bucket are estimated by joint likelihood of the register order, and what may reach the threshold is
-confirmed on the full sets. With the defaults a pair at exactly 80 % is missed with a probability of 1.2e-7. Words enter
-a set by 64 bits of a cryptographic hash, so that texts can't be made to look alike.
+confirmed on the full sets, in which words stand by 64 bits of a cryptographic hash. With the defaults a pair at exactly
+80 % is missed with a probability of 1.2e-7.
 
 Work in a bucket is kept from growing with its square:
 
@@ -45,13 +45,16 @@ _U = np.uint64
 _SKETCHED = "doc_id bigint, n bigint, sig binary, regs binary"
 
 
-def sets_of(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of each row, and their row offsets."""
+def sets_of(data: np.ndarray, offsets: np.ndarray, size: int, strong: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes of each row, and their row offsets. ``strong``: of words by ``text.digests``."""
     data = T.LOWER[data]
     starts, ends, at = T.word_spans(data, offsets, ~T.SPACE)
-    table = T.kept("digests", lambda: T.WordTable(T.digests, 1, np.uint64, KEPT))
-    rows = table.of(data, starts, ends)  # which may move the table's rows
-    words = table.rows[rows, 0]
+    if strong:
+        table = T.kept("digests", lambda: T.WordTable(T.digests, 1, np.uint64, KEPT))
+        rows = table.of(data, starts, ends)  # which may move the table's rows
+        words = table.rows[rows, 0]
+    else:
+        words = T.word_hashes(data, starts, ends)
     out, n = [], np.zeros(len(offsets), np.int64)
     for i in range(len(offsets) - 1):
         h = np.sort(T.shingles(words[at[i] : at[i + 1]], size))
@@ -127,6 +130,7 @@ def likely(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, least:
 
 def _sketched(size: int, m: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        T.forget()
         for batch in batches:
             for i, j, data, offsets in T.blocks(batch.column(1)):
                 flat, at = sets_of(data, offsets, size)
@@ -143,8 +147,8 @@ def _sets(size: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offsets in T.blocks(batch.column(1)):
-                flat, at = sets_of(data, offsets, size)
-                sig = [x.tobytes() for x in signatures(flat, at)]
+                sig = [x.tobytes() for x in signatures(*sets_of(data, offsets, size))]
+                flat, at = sets_of(data, offsets, size, strong=True)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[i:j], pa.array(sig, pa.binary()), pa.array([flat[at[k] : at[k + 1]].tobytes() for k in range(j - i)], pa.binary())],
                     names=["rep", "sig", "items"],

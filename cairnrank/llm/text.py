@@ -10,12 +10,12 @@ from __future__ import annotations
 import ctypes
 import hashlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 
 BLOCK = 1 << 20
-SEGMENT = 1 << 22
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _MIX1, _MIX2 = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
@@ -77,18 +77,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def prefix(data: np.ndarray) -> np.ndarray:
-    """Prefix sums from which ``span_hash`` takes the hash of any span."""
+    """Prefix sums of a polynomial modulo 2**64: for choosing places alone, as unlike spans may well agree in it."""
     out = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + _U(1)) * powers(len(data) + 1)[0][: len(data)], out=out[1:])
     return out
 
 
-def span_hash(p: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of the byte spans [start, end)."""
-    h = (p[ends] - p[starts]) * powers(len(p))[1][starts]
-    return mix(h + (ends - starts).astype(np.uint64) * _STEP)
-
-
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary column and its row offsets; nulls count as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -130,11 +124,14 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tup
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
 
 
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, zeros behind the end."""
+    return np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), 0, (1,))
+
+
 def same_spans(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Whether the ``size`` bytes at ``a`` and at ``b`` are equal, for each pair of places: eight bytes at a time."""
-    out = np.ones(len(a), bool)
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    eight = np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))  # the eight bytes from each place on
+    out, eight = np.ones(len(a), bool), _eights(data)
     live, done = np.flatnonzero((a != b) & (size > 0)), 0
     while len(live):
         if done == LONG:  # few are as long as that
@@ -156,15 +153,22 @@ def digests(words: list[bytes]) -> np.ndarray:
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Quick 64-bit hashes of words; long data is hashed by segments."""
-    out = np.empty(len(starts), np.uint64)
-    i = 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + SEGMENT, "right")))
-        low = starts[i]
-        out[i:j] = span_hash(prefix(data[low : ends[j - 1]]), starts[i:j] - low, ends[i:j] - low)
-        i = j
-    return out
+    """64-bit hashes of words, mixed from eight bytes at a time; those of words under eight bytes are their own alone."""
+    eight, size = _eights(data), ends - starts
+    h = eight[starts] & _FIRST[np.minimum(size, 8)]
+    live = np.flatnonzero(size > 7)
+    h += np.minimum(size, 8).astype(np.uint64) << _U(56)  # above the bytes of a short word
+    h[live] += size[live].astype(np.uint64) * _STEP
+    h = mix(h)
+    for k in live[size[live] > LONG].tolist():
+        h[k] = digests([data[starts[k] : ends[k]].tobytes()])[0, 0]
+    live, done = live[(size[live] > 8) & (size[live] <= LONG)], 8
+    while len(live):
+        more = eight[starts[live] + done] & _FIRST[np.minimum(size[live] - done, 8)]
+        h[live] = mix(h[live] * _COMBINE + more)
+        done += 8
+        live = live[size[live] > done]
+    return h
 
 
 def shingles(words: np.ndarray, size: int) -> np.ndarray:
@@ -229,7 +233,7 @@ class WordTable:
         """Row numbers of distinct words."""
         if len(self.index) > self.most:
             self._shrink()
-        at = np.fromiter((self.index.get(w, -1) for w in words), np.int64, len(words))
+        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
         missing = np.flatnonzero(at < 0)
         if len(missing):
             new = [words[i] for i in missing.tolist()]
@@ -254,7 +258,9 @@ class WordTable:
         raw = data.tobytes()
         words = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
         size, one = ends - starts, first[inverse]
-        same = (size == size[one]) & same_spans(data, starts, starts[one], np.minimum(size, size[one]))
+        same = size == size[one]
+        check = np.flatnonzero(same & (size > 7))  # the hash of a shorter word is no other such word's
+        same[check] = same_spans(data, starts[check], starts[one[check]], size[check])
         if not same.all():  # equal hashes of unlike words
             more: dict[bytes, int] = {}
             for k in np.flatnonzero(~same).tolist():
