@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnrank.llm.skew import join_groups
-from cairnrank.session import ship, staged
+from cairnrank.session import scratch, ship, staged
 
 #: Counters a row, probes a row, counters a segment.
 PER_ROW, PROBES, SEGMENT = 16, 2, 1 << 20
@@ -96,7 +96,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     size = -(-max(1, -(-total // slices)) * PER_ROW // SEGMENT) * SEGMENT
     table = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     table = staged(table.mapInArrow(_digests(slices), _SCHEMA), "digests", ["slice"] if slices > 1 else None)
-    out = []
+    result = None
     for k in range(slices):
         part = (table.filter(F.col("slice") == k) if slices > 1 else table).select("doc_id", "sha")
         counts = part.select("sha").mapInArrow(_counted(size), "segment bigint, once binary, twice binary")
@@ -107,10 +107,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         alone = tested.filter("not maybe").select("doc_id", "sha", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"))
         again = staged(tested.filter("maybe").select("doc_id", "sha"), "repeats")
         groups = staged(again.groupBy("sha").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
-        out += [alone, join_groups(again, groups, ["sha"], "group_size", total).select(*alone.columns)]
-    result = out[0]
-    for x in out[1:]:
-        result = result.unionByName(x)
+        part = alone.unionByName(join_groups(again, groups, ["sha"], "group_size", total).select(*alone.columns))
+        if slices == 1:
+            result = part
+        elif result is None:
+            result, path = part, scratch(spark, "slices")
+            part.write.parquet(path)
+        else:  # so that the plan stays as it is, however many there are
+            part.write.mode("append").parquet(path)
+    if slices > 1:
+        result = spark.read.schema(result.schema).parquet(path)
     return result.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
 
 

@@ -30,8 +30,9 @@ from cairnrank.llm.skew import free_name
 from cairnrank.session import ship, staged
 
 WEIGHTS = (5, 2, 1)
-#: Rows of a bucket of a source's order, on average; slots of a shard, at least; cells of the table of draws, at most.
-BUCKET, SHARD, CELLS = 4_000, 4096, 200_000
+#: Rows of a bucket of a source's order, on average; slots of a shard, at least; cells of the table of draws, at most;
+#: buckets whose sums are run up in one task; sources, at most, as the driver sets their targets.
+BUCKET, SHARD, CELLS, SHELF, MOST_SOURCES = 4_000, 4096, 200_000, 4096, 200_000
 ROUNDS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89)
 _U = np.uint64
 
@@ -112,7 +113,9 @@ def mix(docs: DataFrame, block: int = 64, most: int = 3, seed: int = 5, id_col:
     sized = sized.mapInArrow(_sized, "doc_id bigint, mark bigint, source string, size bigint").withColumn("row", F.monotonically_increasing_id())
     sized = staged(sized, "sized")
     total = sized.count()
-    rows = sized.groupBy("source").agg(F.sum("size").alias("source_size")).collect()
+    rows = sized.groupBy("source").agg(F.sum("size").alias("source_size")).limit(MOST_SOURCES + 1).collect()
+    if len(rows) > MOST_SOURCES:
+        raise ValueError(f"over {MOST_SOURCES} sources")
     rows = sorted(rows, key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
     sizes = [r["source_size"] for r in rows]
     due = targets(sizes, most)
@@ -134,9 +137,12 @@ def mix(docs: DataFrame, block: int = 64, most: int = 3, seed: int = 5, id_col:
     # where each text starts in its source's stream: buckets by hash, then sums within and before them
     texts = texts.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "mark", F.lit(seed)), F.lit(max(1, total // BUCKET))))
     within = Window.partitionBy("number", "bucket").orderBy("doc_id", "mark", "row").rowsBetween(Window.unboundedPreceding, -1)
-    before = Window.partitionBy("number").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = texts.groupBy("number", "bucket").agg(F.sum("size").alias("words"))
-    sums = sums.select("number", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
+    sums = texts.groupBy("number", "bucket").agg(F.sum("size").alias("words")).withColumn("shelf", F.floor(F.col("bucket") / SHELF))
+    earlier = lambda keys, by: Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    shelves = sums.groupBy("number", "shelf").agg(F.sum("words").alias("held"))
+    shelves = shelves.select("number", "shelf", F.coalesce(F.sum("held").over(earlier(["number"], "shelf")), F.lit(0)).alias("under"))
+    sums = sums.withColumn("base", F.coalesce(F.sum("words").over(earlier(["number", "shelf"], "bucket")), F.lit(0))).join(shelves, ["number", "shelf"])
+    sums = sums.select("number", "bucket", (F.col("base") + F.col("under")).alias("base"))
     placed = texts.filter("size > 0").withColumn("at", F.coalesce(F.sum("size").over(within), F.lit(0))).join(sums, ["number", "bucket"])
     placed = placed.select("row", "number", "size", "short", "longer", (F.col("at") + F.col("base")).alias("at"))
     # blocks of short + 1 words, as many as ``longer``, come first

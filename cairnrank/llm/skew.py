@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from cairnrank.session import staged
 
-#: A key with this share of all rows is hot; so at most its inverse of keys are, which bounds what is broadcast.
-HOT_SHARE = 1000
+#: A key with this share of all rows is hot, or with ``MOST_ROWS``, unless more than ``MOST_HOT`` keys could be: the number of
+#: hot keys, and so what is broadcast, is bounded, and so are the rows of a key that isn't hot.
+HOT_SHARE, MOST_ROWS, MOST_HOT = 1000, 1_000_000, 2_000_000
 
 
 def free_name(name: str, columns: list[str]) -> str:
@@ -25,10 +26,10 @@ def free_name(name: str, columns: list[str]) -> str:
 def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str, total: int, how: str = "inner") -> DataFrame:
     """Join each row to its group's one row in ``groups``, whose ``size`` column counts rows among ``total``.
 
-    Groups of over total / HOT_SHARE rows number HOT_SHARE at most and are broadcast; the rest meet by shuffle, where
-    no key can then have more than that share. Both inputs should be staged tables: they are read twice.
+    Groups of over total / HOT_SHARE rows, or of ``MOST_ROWS``, are broadcast; the rest meet by shuffle, where no key
+    can then have more. Both inputs should be staged tables: they are read twice.
     """
-    limit = max(2, total // HOT_SHARE + 1)
+    limit = max(2, min(total // HOT_SHARE + 1, max(MOST_ROWS, total // MOST_HOT)))
     hot = F.broadcast(groups.filter(F.col(size) >= limit).withColumn("_hot", F.lit(True)))
     dealt = rows.join(hot, on, "left")
     rest = dealt.filter("_hot is null").select(*rows.columns).join(groups.filter(F.col(size) < limit), on, how)
