@@ -53,8 +53,8 @@ def test_filters_and_columns_reach_the_scan(spark):
 
 
 def test_staged_rerank_keeps_coarse_scores(spark):
-    best = {r["gid"]: r for r in QUERIES["staged_rerank"](spark, SF).collect()}
-    coarse = {r["gid"]: r["atomcentered_anchored_joint"] for r in QUERIES["overlay_scores"](spark, SF).collect()}
+    best = {(r["query_id"], r["gid"]): r for r in QUERIES["staged_rerank"](spark, SF).collect()}
+    coarse = {(r["query_id"], r["gid"]): r["atomcentered_anchored_joint"] for r in QUERIES["overlay_scores"](spark, SF).collect()}
     assert all(r["score"] >= coarse[g] - 1e-6 for g, r in best.items())
 
 
