@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnrank.functions.scalars import task_id
-from cairnrank.operators.ranking import collapse, correlation, ranked
+from cairnrank.operators.ranking import collapse, correlation, ranked, ranked_by_range
 
 
 def evidence(results: DataFrame) -> DataFrame:
@@ -18,9 +18,8 @@ def evidence(results: DataFrame) -> DataFrame:
     The molecule's best row by (score desc, gid asc); rank by (score desc, molecule_id); percentile 1 - (rank-1)/max(1,n-1).
     """
     best = collapse(results, ["site_id", "query_id", "receptor_id", "molecule_id"])
-    out = ranked(best, [F.desc("score"), F.asc("molecule_id")], ["query_id"], "query_molecule_rank")
-    n = F.count("*").over(Window.partitionBy("query_id"))
-    return out.withColumn("query_rank_percentile", 1 - (F.col("query_molecule_rank") - 1) / F.greatest(F.lit(1), n - 1))
+    out = ranked_by_range(best, "query_id", [F.desc("score"), F.asc("molecule_id")], "query_molecule_rank", "_n")
+    return out.withColumn("query_rank_percentile", 1 - (F.col("query_molecule_rank") - 1) / F.greatest(F.lit(1), F.col("_n") - 1)).drop("_n")
 
 
 def site_summary(rows: DataFrame, rrf_k: int = 60) -> DataFrame:
@@ -30,7 +29,7 @@ def site_summary(rows: DataFrame, rrf_k: int = 60) -> DataFrame:
         F.min("query_molecule_rank").alias("best_query_rank"), F.max("query_rank_percentile").alias("best_percentile"),
         F.round(F.sum(1.0 / (rrf_k + F.col("query_molecule_rank"))), 12).alias("rrf_score"),
     )
-    return ranked(out, [F.desc("rrf_score"), F.asc("best_query_rank"), F.asc("molecule_id")], ["site_id"], "site_consensus_rank")
+    return ranked_by_range(out, "site_id", [F.desc("rrf_score"), F.asc("best_query_rank"), F.asc("molecule_id")], "site_consensus_rank")
 
 
 def admission(rows: DataFrame, summary: DataFrame, quota: int, consensus: int, limit: int) -> DataFrame:
@@ -106,7 +105,12 @@ def top_overlap(rows: DataFrame, ks: tuple[int, ...]) -> DataFrame:
 
 
 def shared_rank_correlation(rows: DataFrame) -> DataFrame:
-    """Pairs of a site's queries: correlation of the ranks they gave the molecules both found; null below two."""
-    side = lambda q, r: rows.select("site_id", "molecule_id", F.col("query_id").alias(q), F.col("query_molecule_rank").alias(r))
-    both = side("a", "ra").join(side("b", "rb"), ["site_id", "molecule_id"]).filter("a < b")
+    """Pairs of a site's queries: correlation of the ranks they gave the molecules both found; null below two.
+
+    A molecule's queries meet in one array, so rows shuffle once; pairs of a molecule are summed before they shuffle again.
+    """
+    each = rows.groupBy("site_id", "molecule_id").agg(F.sort_array(F.collect_list(F.struct("query_id", "query_molecule_rank"))).alias("q"))
+    first = each.filter(F.size("q") > 1).select("site_id", "q", F.posexplode("q").alias("at", "one"))
+    both = first.select("site_id", "one", F.explode(F.slice("q", F.col("at") + 2, F.size("q"))).alias("two"))
+    both = both.select("site_id", F.col("one.query_id").alias("a"), F.col("two.query_id").alias("b"), F.col("one.query_molecule_rank").alias("ra"), F.col("two.query_molecule_rank").alias("rb"))
     return both.groupBy("site_id", "a", "b").agg(F.count("*").alias("shared"), correlation("ra", "rb", 1e-12).alias("rank_correlation"))

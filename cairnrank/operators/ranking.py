@@ -12,6 +12,9 @@ from cairnrank.session import staged
 
 CHANNELS = ("baseline", "strict", "balanced", "loose")
 
+#: Counts by key and partition that are broadcast, at most.
+MOST_PARTS = 500_000
+
 
 def ranked(df: DataFrame, by: list[Column], within: list[str] | None = None, name: str = "rank") -> DataFrame:
     """1-based row numbers by ``by``, within groups if given."""
@@ -33,6 +36,26 @@ def ranked_globally(df: DataFrame, by: list[Column], name: str = "rank") -> Data
     return rows.withColumn(name, F.col("_id").bitwiseAND((1 << 33) - 1) + 1 + F.col("_before")).drop("_id", "_part", "_before")
 
 
+def ranked_by_range(df: DataFrame, key: str, by: list[Column], name: str = "rank", count: str | None = None) -> DataFrame:
+    """1-based places of rows within their key, and the key's rows as ``count``, without bringing a key to one task.
+
+    Rows are dealt by ranges of the key and the order, so a large key has several partitions; its rows before a partition
+    come from one count for each key and partition. The order must be total within a key.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.repartitionByRange(n, F.asc(key), *by).sortWithinPartitions(F.asc(key), *by).withColumn("_id", F.monotonically_increasing_id())
+    rows = staged(rows, "ranked").withColumn("_part", F.shiftright("_id", 33))
+    parts = rows.groupBy(F.col(key).alias("_key"), F.col("_part").alias("_of")).agg(F.count("*").alias("_rows"), F.min("_id").alias("_first"))
+    w = Window.partitionBy("_key")
+    before = F.coalesce(F.sum("_rows").over(w.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("_key", "_of", "_first", before.alias("_before"), F.sum("_rows").over(w).alias("_all"))
+    few = parts.limit(MOST_PARTS + 1).count() <= MOST_PARTS
+    out = rows.join(F.broadcast(parts) if few else parts, (F.col("_part") == F.col("_of")) & F.col(key).eqNullSafe(F.col("_key")))
+    out = out.withColumn(name, F.col("_id") - F.col("_first") + 1 + F.col("_before"))
+    out = out.withColumn(count, F.col("_all")) if count else out
+    return out.drop("_id", "_part", "_key", "_of", "_first", "_before", "_all")
+
+
 def top_within(df: DataFrame, k: int, by: list[Column], within: list[str], name: str = "rank") -> DataFrame:
     """First ``k`` rows of each group; map tasks keep k a group before the shuffle (WindowGroupLimit)."""
     return ranked(df, by, within, name).filter(F.col(name) <= k)

@@ -1,17 +1,18 @@
 """Vector retrieval: standardisation, exact blocked top-k, bitset similarity, partitioned index, recall.
 
-Queries are a stated set. They are worked in blocks of a checked size: each block is broadcast, every Arrow batch of the
-corpus keeps its own k best rows per query, and only these meet in one shuffle. So the corpus is scanned once a block,
+Queries are a stated set. They are worked in blocks of a checked size: each block is broadcast, every task keeps its own k
+best rows per query over all its batches and sends them on once, and only these meet in one shuffle. So the corpus is scanned once a block,
 never multiplied by the queries as rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnrank.operators.ranking import top_within
@@ -19,6 +20,8 @@ from cairnrank.session import ship
 
 #: Queries of a block; rows that the driver samples for centroids.
 BLOCK, TRAINING = 2048, 20_000
+#: Rows that are compared at once.
+GATHERED = 8192
 _HITS = "query_id bigint, gid bigint, molecule bigint, value double"
 
 
@@ -50,12 +53,50 @@ def bit_tanimoto(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return 1 - both / np.maximum(either, 1)
 
 
+class Best:
+    """The k best (distance asc, id asc) rows of each query, kept over the batches of a task."""
+
+    def __init__(self, queries: int, k: int):
+        self.k = k
+        self.rows = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))] * queries
+        self.edge = np.full(queries, np.inf)
+
+    def add(self, n: int, gid: np.ndarray, molecule: np.ndarray, value: np.ndarray) -> None:
+        held = [np.concatenate(c) for c in zip(self.rows[n], (gid, molecule, value), strict=True)]
+        at = np.lexsort((held[0], held[2]))[: self.k]
+        self.rows[n] = tuple(c[at] for c in held)
+        if len(at) == self.k:
+            self.edge[n] = held[2][at[-1]]
+
+    def batch(self, ids: np.ndarray) -> pa.RecordBatch:
+        names = ["query_id", "gid", "molecule", "value"]
+        size = [len(r[0]) for r in self.rows]
+        cols = [np.concatenate(c) for c in zip(*self.rows, strict=True)] if self.rows else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(ids, np.int64), size)), *map(pa.array, cols)], names=names)
+
+
+def gathered(batches: Iterator[pa.RecordBatch], rows: int = GATHERED) -> Iterator[pa.RecordBatch]:
+    """Batches of ``rows`` rows or a little more, as matrix products want them."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _nearest(shared, k: int, exclude: bool) -> Callable:
-    """Each batch's k best (distance asc, id asc) rows of each query."""
+    """Each task's k best rows of each query, sent on once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, molecules, queries, distance, mean, std, words = shared.value
-        for batch in batches:
+        best = Best(len(ids), k)
+        product = distance is squared_l2
+        square = (queries * queries).sum(axis=1) if product else None
+        for batch in gathered(batches):
             batch = batch.filter(batch.column(2).is_valid())
             if not batch.num_rows:
                 continue
@@ -64,18 +105,31 @@ def _nearest(shared, k: int, exclude: bool) -> Callable:
                 x = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64).reshape(len(gid), -1)
             else:
                 x = (_matrix(batch.column(2), queries.shape[1]) - mean) / std
-            out = []
-            for n in range(len(ids)):
-                d = distance(x, queries[n])
-                ok = np.isfinite(d) & ((molecule != molecules[n]) if exclude else True)
-                at = np.flatnonzero(ok)
-                if len(at) > k:
-                    edge = np.partition(d[at], k - 1)[k - 1]
-                    at = at[d[at] <= edge]
-                at = at[np.lexsort((gid[at], d[at]))[:k]]
-                out.append((np.full(len(at), ids[n]), gid[at], molecule[at], d[at]))
-            cols = [np.concatenate(c) for c in zip(*out, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["query_id", "gid", "molecule", "value"])
+            own = (x * x).sum(axis=1) if product else None
+            for low in range(0, len(ids), 256):
+                part = slice(low, min(low + 256, len(ids)))
+                if product:  # about right for all at once; those that may count are measured exactly
+                    rough = own[:, None] + square[None, part] - 2 * x @ queries[part].T
+                    slack = 1e-9 * (own[:, None] + square[None, part])
+                for n in range(part.start, part.stop):
+                    ok = molecule != molecules[n] if exclude else np.ones(len(gid), bool)
+                    if product:
+                        near, wide = rough[:, n - low], slack[:, n - low]
+                        ok &= near - wide <= best.edge[n]
+                        if ok.sum() > k:
+                            ok &= near - wide <= np.partition((near + wide)[ok], k - 1)[k - 1]
+                    at = np.flatnonzero(ok)
+                    if not len(at):
+                        continue
+                    d = distance(x[at], queries[n])
+                    good = np.isfinite(d) & (d <= best.edge[n])
+                    at, d = at[good], d[good]
+                    if len(at) > k:
+                        keep = d <= np.partition(d, k - 1)[k - 1]
+                        at, d = at[keep], d[keep]
+                    if len(at):
+                        best.add(n, gid[at], molecule[at], d)
+        yield best.batch(ids)
 
     return run
 
@@ -180,6 +234,14 @@ def _listed(shared, n: int) -> Callable:
     return run
 
 
+def sampled_ids(spark: SparkSession, total: int, count: int) -> DataFrame:
+    """Ids spread evenly from 0 to ``total`` - 1, the ends included, each once."""
+    if total < 1 or count < 1:
+        return spark.createDataFrame([], "gid bigint")
+    step = F.lit(float(total - 1)) / F.lit(float(max(1, count - 1)))
+    return spark.range(count).select(F.floor(F.col("id") * step).cast("bigint").alias("gid")).distinct()
+
+
 def listed(rows: DataFrame, c: np.ndarray, n: int = 1) -> DataFrame:
     """Rows (gid, molecule, vector) with the number of their nearest list, or ``n`` rows for the n nearest lists."""
     spark = ship(rows.sparkSession)
@@ -189,17 +251,17 @@ def listed(rows: DataFrame, c: np.ndarray, n: int = 1) -> DataFrame:
 
 def _probed(batches: Iterator[pa.RecordBatch], shared, k: int) -> Iterator[pa.RecordBatch]:
     by_list, queries, ids = shared.value
-    for batch in batches:
+    best = Best(len(ids), k)
+    for batch in gathered(batches):
         gid, molecule, own = (batch.column(c).to_numpy() for c in (0, 1, 3))
         x = _matrix(batch.column(2), queries.shape[1])
-        out = [(np.zeros(0, np.int64),) * 3 + (np.zeros(0),)]
         for number in np.unique(own).tolist():
             rows = np.flatnonzero(own == number)
             for n in by_list.get(number, ()):
                 d = squared_l2(x[rows], queries[n])
-                at = np.lexsort((gid[rows], d))[:k]
-                out.append((np.full(len(at), ids[n]), gid[rows[at]], molecule[rows[at]], d[at]))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_id", "gid", "molecule", "value"])
+                at = np.flatnonzero(d <= best.edge[n])
+                best.add(n, gid[rows[at]], molecule[rows[at]], d[at])
+    yield best.batch(ids)
 
 
 def probe(index: DataFrame, queries: DataFrame, c: np.ndarray, probes: int, k: int, block: int = BLOCK) -> DataFrame:
@@ -208,10 +270,9 @@ def probe(index: DataFrame, queries: DataFrame, c: np.ndarray, probes: int, k: i
     Where the index is written with ``partitionBy("list")``, the filter on lists prunes the files that are read.
     """
     spark = ship(index.sparkSession)
-    rows = [tuple(r) for r in queries.select("gid", F.col("vector").cast("array<double>")).collect()]
     out = None
-    for low in range(0, len(rows), block):
-        part = rows[low : low + block]
+    asked = queries.select("gid", F.col("vector").cast("array<double>")).filter("vector is not null").toLocalIterator()
+    while part := [tuple(r) for r in islice(asked, block)]:
         q = np.array([r[1] for r in part], np.float64)
         by_list: dict[int, list[int]] = {}
         for n, lists in enumerate(assign(q, c, probes).tolist()):
@@ -220,4 +281,5 @@ def probe(index: DataFrame, queries: DataFrame, c: np.ndarray, probes: int, k: i
         shared = spark.sparkContext.broadcast((by_list, q, [r[0] for r in part]))
         hits = index.filter(F.col("list").isin(list(by_list))).select("gid", "molecule", "vector", "list").mapInArrow(lambda b, s=shared: _probed(b, s, k), _HITS)
         out = hits if out is None else out.unionByName(hits)
+    out = spark.createDataFrame([], _HITS) if out is None else out
     return top_within(out, k, [F.asc("value"), F.asc("gid")], ["query_id"])

@@ -669,7 +669,7 @@ def staged_rerank(spark, sf_dir):
 
     def one(q):
         poses = staged(overlay.staged_rerank(rows, q, 10), "poses")
-        notes = overlay.annotated(poses, rows, _anchors(q), [1.5, 1.0, 1.0])
+        notes = overlay.annotated(poses, rows, {i: overlay.anchors_of(*a, [1.5, 1.0, 1.0]) for i, a in _anchors(q).items()})
         return poses.select("query_id", "gid", F.round("atomcentered_anchored_joint", 6).alias("score")).join(notes, ["query_id", "gid"])
 
     return _united(map(one, asked)).select("query_id", "gid", "score", F.round("match_score", 6).alias("match_score"), F.array_join(F.col("assignments").cast("array<string>"), ",").alias("assignments"))
@@ -858,3 +858,6 @@ def accessible_tasks(spark, sf_dir):
     tasks = o.select(F.col("o_orderkey").alias("task_id"), F.col("o_orderstatus").alias("status"))
     access = o.filter("o_custkey % 10 < 7").select(F.col("o_orderkey").alias("task_id"), F.lit("u").alias("user_id"), F.when(F.col("o_orderkey") % 4 == 0, "viewer").otherwise("owner").alias("role"))
     return registry.accessible(tasks, access, "u", True).groupBy("status").agg(F.count("*").alias("tasks"))
+
+
+from cairnrank.plans import screens  # noqa: E402, F401 - more queries, which use what stands above

@@ -2,79 +2,80 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnrank.functions.scalars import split_conformer
-from cairnrank.session import ship
+from cairnrank.operators.ranking import ranked_by_range
+from cairnrank.session import staged
 
 MARKER = "@<TRIPOS>MOLECULE"
 #: Atomic numbers to symbols for the writers. Fixed values.
 ELEMENTS = {1: "H", 5: "B", 6: "C", 7: "N", 8: "O", 9: "F", 14: "Si", 15: "P", 16: "S", 17: "Cl", 35: "Br", 53: "I"}
-_RECORD = "path string, record_index bigint, raw_text string"
-
-
-def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Files to their records: text before the first marker is dropped, the marker's case doesn't matter."""
-    for batch in batches:
-        for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            index, held, out = -1, [], []
-            for line in content.as_py().decode("utf-8", "replace").splitlines(keepends=True):
-                if line.strip().upper() == MARKER:
-                    if index >= 0:
-                        out.append((index, "".join(held)))
-                    index, held = index + 1, []
-                held.append(line)
-            if index >= 0:
-                out.append((index, "".join(held)))
-            for low in range(0, len(out), 1000):
-                part = out[low : low + 1000]
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(part)), pa.array([i for i, _ in part], pa.int64()), pa.array([t for _, t in part])], names=["path", "record_index", "raw_text"])
+#: A marker's line, whatever its case.
+_MARKED = r"(?im)(?=^[ \t]*@<TRIPOS>MOLECULE[ \t]*$)"
+
+
+def _chunks(spark: SparkSession, path: str, recursive: bool) -> DataFrame:
+    """(path, block, id, value): text between markers as they are mostly written, which readers split by bytes."""
+    text = spark.read.option("lineSep", MARKER).option("pathGlobFilter", "*.[mM][oO][lL]2").option("recursiveFileLookup", str(recursive).lower()).text(path)
+    return text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
 
 
 def records(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """(path, record_index, raw_text) of all ``.mol2`` files at a path; a file is read by one task."""
-    ship(spark)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[mM][oO][lL]2").option("recursiveFileLookup", str(recursive).lower()).load(path)
-    return files.select("path", "content").mapInArrow(_split, _RECORD)
+    """(path, record_index, raw_text) of all ``.mol2`` files at a path, in the order of each file; line ends are newlines.
+
+    The marker is the reader's line separator, so a file is read by many tasks, none of which holds more than a record;
+    markers of another case are found inside what it yields. Text before a file's first marker is dropped.
+    """
+    chunks = ranked_by_range(_chunks(spark, path, recursive), "path", [F.asc("block"), F.asc("id")], "chunk")
+    text = F.when(F.col("chunk") > 1, F.concat(F.lit(MARKER), "value")).otherwise(F.col("value"))
+    pieces = F.filter(F.split(F.regexp_replace(text, "\r\n?", "\n"), _MARKED), lambda x: F.upper(F.ltrim(x)).startswith(MARKER))
+    rows = chunks.select("path", "chunk", F.posexplode(pieces).alias("at", "raw_text"))
+    rows = staged(rows, "records")
+    usual = rows.groupBy().agg(F.count_if((F.col("at") > 0) | (F.col("chunk") == 1)).alias("n")).first()["n"] == 0
+    if usual:  # a record for each chunk but the first
+        return rows.select("path", (F.col("chunk") - 2).alias("record_index"), "raw_text")
+    return ranked_by_range(rows, "path", [F.asc("chunk"), F.asc("at")], "n").select("path", (F.col("n") - 1).alias("record_index"), "raw_text")
 
 
 def unmarked(spark: SparkSession, path: str) -> DataFrame:
     """Files that have text but no record."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[mM][oO][lL]2").option("recursiveFileLookup", "true").load(path)
-    return files.filter((F.col("length") > 0) & ~F.upper(F.decode("content", "UTF-8")).contains(MARKER)).select("path")
+    chunks = _chunks(spark, path, True).groupBy("path").agg(F.count("*").alias("n"), F.max(F.col("value").rlike(_MARKED)).alias("other"))
+    return chunks.filter("n = 1 and not other").select("path")
 
 
 def parsed(rows: DataFrame) -> DataFrame:
     """Records with name, counts, digests, warnings, and ``error`` (null if the record is sound). No Python.
 
-    Sections are found by their headers; atoms need six fields and bonds four, and their numbers must be as counted. The
-    topology digest covers atom types and bonds, not coordinates.
+    Sections are found by their headers; atoms need six fields and bonds four, and their numbers must be as counted and
+    given as whole numbers; a record without atoms is unsound. The topology digest covers atom types and bonds (``first-second:type``), not
+    coordinates. A repeated section goes on where it stopped.
     """
     lines = F.transform(F.split("raw_text", "\r?\n"), lambda x: F.trim(x))
-    rows = rows.withColumn("_lines", F.filter(lines, lambda x: (x != "") & ~x.startswith("#")))
     head = lambda x: F.upper(x).startswith("@<TRIPOS>")
+    rows = rows.withColumn("_lines", lines)
+    heads = F.filter(F.transform("_lines", lambda x, i: F.when(head(x), F.struct(F.upper(x).alias("h"), i.alias("i")))), lambda x: x.isNotNull())
+    rows = rows.withColumn("_heads", heads)
 
-    def section(name: str):
-        at = F.array_position(F.transform("_lines", F.upper), f"@<TRIPOS>{name}")
-        rest = F.when(at > 0, F.slice("_lines", (at + 1).cast("int"), F.size("_lines")))
-        stop = F.array_position(F.transform(rest, head), True)
-        return F.coalesce(F.when(stop > 0, F.slice(rest, 1, (stop - 1).cast("int"))).otherwise(rest), F.array().cast("array<string>"))
+    def section(name: str, blank: bool):
+        """Lines of all sections with the name; ``blank``: empty ones too."""
+        stop = lambda k: F.coalesce(F.get("_heads", k + 1)["i"], F.size("_lines"))
+        part = lambda h, k: F.when(h["h"] == f"@<TRIPOS>{name}", F.slice("_lines", h["i"] + 2, stop(k) - h["i"] - 1)).otherwise(F.array().cast("array<string>"))
+        every = F.flatten(F.transform("_heads", part))
+        return every if blank else F.filter(every, lambda x: x != "")
 
     words = lambda x: F.split(x, r"\s+")
-    rows = rows.withColumns({"_m": section("MOLECULE"), "_a": F.transform(section("ATOM"), words), "_b": F.transform(section("BOND"), words)})
+    rows = rows.withColumns({"_m": section("MOLECULE", True), "_a": F.transform(section("ATOM", False), words), "_b": F.transform(section("BOND", False), words)})
     counts = words(F.get("_m", F.lit(1)))
-    rows = rows.withColumns({"name": F.get("_m", F.lit(0)), "atom_count": F.get(counts, F.lit(0)).try_cast("int"), "bond_count": F.coalesce(F.get(counts, F.lit(1)).try_cast("int"), F.lit(0))})
+    rows = rows.withColumns({"name": F.get("_m", F.lit(0)), "atom_count": F.get(counts, F.lit(0)).try_cast("int"), "bond_count": F.get(counts, F.lit(1)).try_cast("int")})
     error = (
-        F.when(F.coalesce(F.col("name"), F.lit("")) == "", "missing name").when(F.col("atom_count").isNull(), "bad counts line")
-        .when(F.size("_a") != F.col("atom_count"), "atom count differs").when(F.size("_b") != F.col("bond_count"), "bond count differs")
+        F.when(F.size("_m") < 2, "missing name or counts").when(F.col("name") == "", "missing name").when(F.col("atom_count").isNull() | F.col("bond_count").isNull(), "bad counts line")
+        .when(F.size("_a") != F.col("atom_count"), "atom count differs").when(F.size("_a") == 0, "no atoms").when(F.size("_b") != F.col("bond_count"), "bond count differs")
         .when(F.exists("_a", lambda x: F.size(x) < 6), "short atom line").when(F.exists("_b", lambda x: F.size(x) < 4), "short bond line")
     )
     atoms = F.concat_ws("|", F.transform("_a", lambda x: F.get(x, F.lit(5))))
-    bonds = F.concat_ws("|", F.transform("_b", lambda x: F.concat_ws(":", F.get(x, F.lit(1)), F.get(x, F.lit(2)), F.get(x, F.lit(3)))))
+    bonds = F.concat_ws("|", F.transform("_b", lambda x: F.concat(F.get(x, F.lit(1)), F.lit("-"), F.get(x, F.lit(2)), F.lit(":"), F.get(x, F.lit(3)))))
     molecule, conformer = split_conformer(F.col("name"))
     return rows.select(
         "path", "record_index", "name", molecule.alias("molecule_name"), conformer.alias("conformer_index"), "atom_count", "bond_count", "raw_text",

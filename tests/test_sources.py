@@ -1,5 +1,7 @@
 """MOL2 text, structure writers, tables and streams."""
 
+import hashlib
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -35,6 +37,34 @@ def test_mol2(spark, tmp_path):
     assert [r["path"].rsplit("/", 1)[1] for r in mol2.unmarked(spark, str(tmp_path / "in")).collect()] == ["c.mol2"]
 
 
+def test_mol2_records_of_large_files(spark, tmp_path):
+    """A file cut into many splits, with markers of another case and ends of line of another system."""
+    blocks = [block(f"m{k}_conf{k % 3}", k, "@<tripos>Molecule" if k % 50 == 7 else "@<TRIPOS>MOLECULE") for k in range(400)]
+    (tmp_path / "big.mol2").write_bytes(("head\n" + "".join(blocks)).replace("\n", "\r\n").encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        got = sorted((r["record_index"], r["raw_text"]) for r in mol2.records(spark, str(tmp_path)).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == list(enumerate(blocks))
+
+
+def test_mol2_soundness(spark):
+    """Digest of types and bonds by its definition, and what makes a record unsound."""
+    good = block("a", 0)
+    cases = {
+        good: None, good.replace("2 1 0 0 0", "2"): "bad counts line", good.replace("2 1 0", "x 1 0"): "bad counts line", good.replace("2 1 0", "2 x 0"): "bad counts line",
+        "@<TRIPOS>MOLECULE\nname\n0 0\n@<TRIPOS>BOND\n": "no atoms", "@<TRIPOS>MOLECULE\n": "missing name or counts", "@<TRIPOS>MOLECULE\n\n2 1\n": "missing name",
+        good.replace("1 1 2 1", "1 1 2"): "short bond line", good.replace(" C.3", ""): "short atom line",
+        good.replace("@<TRIPOS>BOND", "# 9 lines are atoms as well\n@<TRIPOS>BOND"): "atom count differs",
+    }
+    rows = spark.createDataFrame([("p", k, t) for k, t in enumerate(cases)], "path string, record_index bigint, raw_text string")
+    got = {r["raw_text"]: r for r in mol2.parsed(rows).collect()}
+    assert {t: r["error"] for t, r in got.items()} == cases
+    assert got[good]["topology_sha256"] == hashlib.sha256(b"C.3|N.3||1-2:1").hexdigest() and got[good]["content_sha256"] == hashlib.sha256(good.encode()).hexdigest()
+
+
 def test_structure_text(spark):
     s = spark.createDataFrame([("x", [[0.0, 0.0, 0.0]] * 9, [6] * 9, [[1, 2, 1]], [1] * 9)], "id string, points array<array<double>>, numbers array<int>, bonds array<array<int>>, charges array<int>")
     text = mol2.sdf_lines(s).first()["value"].split("\n")
