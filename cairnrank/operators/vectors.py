@@ -235,11 +235,13 @@ def _listed(shared, n: int) -> Callable:
 
 
 def sampled_ids(spark: SparkSession, total: int, count: int) -> DataFrame:
-    """Ids spread evenly from 0 to ``total`` - 1, the ends included, each once."""
+    """Ids spread evenly from 0 to ``total`` - 1, the ends included, each once, ``count`` of them at most."""
     if total < 1 or count < 1:
-        return spark.createDataFrame([], "gid bigint")
-    step = F.lit(float(total - 1)) / F.lit(float(max(1, count - 1)))
-    return spark.range(count).select(F.floor(F.col("id") * step).cast("bigint").alias("gid")).distinct()
+        raise ValueError("ids are spread over one row or more, and are one or more")
+    count = min(total, count)
+    step = F.lit((total - 1) / max(1, count - 1))
+    at = F.when((F.col("id") == count - 1) & (F.lit(count) > 1), F.lit(total - 1)).otherwise(F.floor(F.col("id") * step))
+    return spark.range(count).select(at.cast("bigint").alias("gid")).distinct()
 
 
 def listed(rows: DataFrame, c: np.ndarray, n: int = 1) -> DataFrame:

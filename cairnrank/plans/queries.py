@@ -103,16 +103,16 @@ def bitset_topk(spark, sf_dir):
 WITH {_V} {_B}
 pool AS (SELECT query_id, gid AS molecule, 1 - (1 - s) AS s2, row_number() OVER (PARTITION BY query_id ORDER BY 1 - s, gid) AS n FROM t QUALIFY n <= 50),
 d3 AS (SELECT q.vec_id AS query_id, c.vec_id AS molecule, 1 / (1 + sqrt(sum((c.x - q.x) * (c.x - q.x)))) AS s3 FROM e q JOIN e c ON c.d = q.d
-  WHERE q.vec_id % 20 = 0 AND c.label < 7 GROUP BY 1, 2),
+  WHERE q.vec_id % 20 = 0 GROUP BY 1, 2),
 c AS (SELECT p.query_id, p.molecule, s2, s3, CASE WHEN s3 IS NULL THEN s2 ELSE (0.4 * s2 + 0.6 * s3) / 1.0 END AS comb FROM pool p LEFT JOIN d3 ON d3.query_id = p.query_id AND d3.molecule = p.molecule),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY comb DESC, s2 DESC, molecule) AS rank FROM c)
 SELECT query_id, molecule, round(s2, 6) AS score_2d, round(s3, 6) AS score_3d, round(comb, 6) AS combined, rank FROM r WHERE rank <= 10
 """)
 def hierarchical_search(spark, sf_dir):
-    """A bitset pool, then vectors where there are any (labels under 7 here), then the weighted mean."""
+    """A bitset pool, then its vectors, then the weighted mean."""
     b, v = T.bits(spark, sf_dir), T.vectors(spark, sf_dir)
-    own = v.select("gid", F.col("gid").alias("molecule"), "vector", F.col("molecule").alias("label"))
-    out = vectors.hierarchical(b, own.filter("label < 7").drop("label"), T.asked(b), T.asked(own.drop("label")), 50, 10)
+    own = v.select("gid", F.col("gid").alias("molecule"), "vector")
+    out = vectors.hierarchical(b, own, T.asked(b), T.asked(own), 50, 10)
     return out.select("query_id", "molecule", F.round("score_2d", 6).alias("score_2d"), F.round("score_3d", 6).alias("score_3d"), F.round("combined", 6).alias("combined"), "rank")
 
 
@@ -143,8 +143,8 @@ def ranked_merge(spark, sf_dir):
 
 
 _CHANNELS = """
-c AS (SELECT l_linenumber, l_partkey AS gid, max(l_extendedprice) AS score FROM lineitem WHERE l_linenumber <= 4 GROUP BY 1, 2),
-k AS (SELECT l_linenumber - 1 AS ch, gid, score, row_number() OVER (PARTITION BY l_linenumber ORDER BY score DESC, gid) AS r FROM c),
+c AS (SELECT l_linenumber // 2 AS ch, l_partkey AS gid, max(l_extendedprice) AS score FROM lineitem GROUP BY 1, 2),
+k AS (SELECT ch, gid, score, row_number() OVER (PARTITION BY ch ORDER BY score DESC, gid) AS r FROM c),
 a0 AS (SELECT gid, ch, r, 1 AS new FROM k WHERE ch = 0 AND r <= 300),
 """
 
@@ -164,10 +164,10 @@ SELECT gid, source_flags, CAST(first_channel AS BIGINT) AS first_channel, first_
 """
 )
 def candidate_schedule(spark, sf_dir):
-    """Four ranked channels admitted within budgets of new ids."""
-    rows = T.table(spark, sf_dir, "lineitem").filter("l_linenumber <= 4").groupBy("l_linenumber", F.col("l_partkey").alias("gid")).agg(F.max("l_extendedprice").alias("score"))
-    names = F.array(*map(F.lit, ranking.CHANNELS))
-    rows = ranking.ranked(rows, [F.desc("score"), F.asc("gid")], ["l_linenumber"]).withColumn("channel", names[F.col("l_linenumber") - 1])
+    """Four ranked channels, of two line numbers each, admitted within budgets of new ids."""
+    channel = F.array(*map(F.lit, ranking.CHANNELS))[(F.col("l_linenumber") / 2).cast("int")]
+    rows = T.table(spark, sf_dir, "lineitem").groupBy(channel.alias("channel"), F.col("l_partkey").alias("gid")).agg(F.max("l_extendedprice").alias("score"))
+    rows = ranking.ranked_by_range(rows, "channel", [F.desc("score"), F.asc("gid")])
     return ranking.schedule(rows, {"baseline": 300, "strict": 150, "balanced": 100, "loose": 50})
 
 
@@ -617,17 +617,16 @@ def keys_and_scores(spark, sf_dir):
 
 @query(f"""
 WITH {_C[:-2]}
-SELECT b.gid AS point, arg_min(a.gid, (sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2), a.gid)) AS partner,
+SELECT b.gid * 32 + b.idx AS point, arg_min(a.gid * 32 + a.idx, (sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2), a.gid * 32 + a.idx)) AS partner,
   round(min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2)), 6) AS distance, count(*) AS within
-FROM c b JOIN c a ON a.idx = 1 AND b.idx = 0 WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) <= 0.75 GROUP BY 1
+FROM c b JOIN c a ON a.gid <> b.gid AND abs(a.x - b.x) <= 0.2 WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) <= 0.2 GROUP BY 1
 """)
 def nearest_partner(spark, sf_dir):
-    """Spatial nearest-neighbour join by grid cells: each row's feature 0 with the nearest feature 1."""
+    """Spatial nearest-neighbour join by grid cells: each feature with the nearest one of another cloud."""
     from cairnrank.operators.overlay import nearest_partner as join
 
-    c = T.clouds(spark, sf_dir)
-    side = lambda k: c.filter(F.col("idx") == k).select(F.col("gid").alias("id"), "x", "y", "z")
-    found = join(side(0), side(1), 0.75)
+    c = T.clouds(spark, sf_dir).select((F.col("gid") * 32 + F.col("idx")).alias("id"), "gid", "x", "y", "z")
+    found = join(c, c, 0.2, apart="gid")
     return found.withColumn("distance", F.round("distance", 6))
 
 
@@ -803,11 +802,12 @@ def current_states(spark, sf_dir):
     return registry.current(e, "user_id", ["ts", "event_id"])
 
 
-@query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1 AS accepted FROM events WHERE event_type = 'purchase'")
+@query("SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1 AS accepted FROM events")
 def first_locks(spark, sf_dir):
     from cairnrank.operators import registry
 
-    return registry.first_locks(T.table(spark, sf_dir, "events").filter("event_type = 'purchase'"), "user_id", ["ts", "event_id"]).select("user_id", "event_id", "accepted")
+    locks = T.table(spark, sf_dir, "events").withColumn("lock", F.struct("user_id", "event_type"))
+    return registry.first_locks(locks, "lock", ["ts", "event_id"]).select("user_id", "event_type", "event_id", "accepted")
 
 
 @query("SELECT l_partkey, l_suppkey, array_to_string(list_sort(list(DISTINCT l_returnflag)), ',') AS digests FROM lineitem GROUP BY 1, 2 HAVING count(DISTINCT l_returnflag) > 1")
