@@ -47,36 +47,70 @@ def terms_of(text: bytes) -> list[bytes]:
     return [t for w in words_of(text) for t in terms_of_word(w)]
 
 
+class Corpus:
+    """Examples as counts of words, and words as terms, by number: what indexes of all or some of them are made from."""
+
+    def __init__(self, rows: list[tuple]):
+        self.rows = sorted(rows)
+        self.label = np.array([r[2] for r in self.rows], np.int64)
+        words: dict[bytes, int] = {}
+        terms: dict[bytes, int] = {}
+        flat, size, self.docs = [], [], []
+        for r in self.rows:
+            bag = Counter(words_of((r[1] or "").encode()))
+            for w in bag:
+                if w not in words:
+                    words[w] = len(words)
+                    own = terms_of_word(w)
+                    flat += [terms.setdefault(t, len(terms)) for t in own]
+                    size.append(len(own))
+            self.docs.append((np.fromiter(map(words.__getitem__, bag), np.int32, len(bag)), np.fromiter(bag.values(), np.int32, len(bag))))
+        self.terms = list(terms)
+        self.flat, self.at = np.array(flat, np.int32), np.cumsum([0, *size])
+
+    def terms_in(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Terms of an example, once for each of its words, and the word's count."""
+        word, count = self.docs[k]
+        size = self.at[word + 1] - self.at[word]
+        place = np.repeat(self.at[word] + size - np.cumsum(size), size) + np.arange(size.sum())
+        return self.flat[place], np.repeat(count, size)
+
+    def document_counts(self, pick: np.ndarray) -> np.ndarray:
+        """Of the examples ``pick``: how many have each term."""
+        out = np.zeros(len(self.terms), np.int64)
+        for k in pick.tolist():
+            out[np.unique(self.terms_in(k)[0])] += 1
+        return out
+
+
 class Index:
     """Block-max inverted index of the examples, with the fitted probability."""
 
-    def __init__(self, rows: list[tuple], share: float, least: float | None = None, bags: list[Counter] | None = None):
-        order = sorted(range(len(rows)), key=rows.__getitem__)
-        bags = bags or [Counter(terms_of((r[1] or "").encode())) for r in rows]
-        rows, bags = [rows[k] for k in order], [bags[k] for k in order]
-        self.ids = np.array([r[0] for r in rows], np.int64)
-        self.label = np.array([r[2] for r in rows], np.int64)
+    def __init__(self, rows: list[tuple], share: float, least: float | None = None, corpus: Corpus | None = None, pick: np.ndarray | None = None):
+        corpus = corpus or Corpus(rows)
+        pick = np.arange(len(corpus.rows)) if pick is None else pick
+        self.ids = np.array([corpus.rows[k][0] for k in pick.tolist()], np.int64)
+        self.label = corpus.label[pick]
         self.known: dict[bytes, list[int]] = {}
-        self.least = chosen(rows, bags, share) if least is None else least
-        n, toxic = len(rows), int(self.label.sum())
-        yes, no = Counter(), Counter()
-        for bag, y in zip(bags, self.label.tolist(), strict=True):
-            (yes if y else no).update(bag.keys())
-        found = []
-        for w in yes.keys() | no.keys():
-            a, b = yes[w], no[w]
-            p = (a + b) / n
-            if toxic and n - toxic and 0 < p < 1:
-                z = abs(a / toxic - b / (n - toxic)) / (p * (1 - p) * (1 / toxic + 1 / (n - toxic))) ** 0.5
-                if z >= self.least:
-                    found.append((-z, w))
-        self.vocab = {w: k for k, (_, w) in enumerate(sorted(found)[:MOST_WORDS])}
+        self.least = chosen(corpus, share) if least is None else least
+        n, toxic = len(pick), int(self.label.sum())
+        yes, no = corpus.document_counts(pick[self.label == 1]), corpus.document_counts(pick[self.label != 1])
+        z = np.zeros(len(yes))
+        if toxic and n - toxic:
+            p = (yes + no) / n
+            some = (p > 0) & (p < 1)
+            z[some] = np.abs(yes[some] / toxic - no[some] / (n - toxic)) / np.sqrt(p[some] * (1 - p[some]) * (1 / toxic + 1 / (n - toxic)))
+        found = sorted((-z[t], corpus.terms[t], t) for t in np.flatnonzero(z >= self.least).tolist())[:MOST_WORDS]
+        self.vocab = {w: k for k, (_, w, _) in enumerate(found)}
         self.vocab[REST] = len(self.vocab)
-        self.idf = np.array([np.log((n + 1) / (yes[w] + no[w])) if w else 0.0 for w in self.vocab])
+        self.idf = np.array([*(np.log((n + 1) / (yes[t] + no[t])) for _, _, t in found), 0.0])
+        #: Place in the vocabulary of each term of the corpus; not kept.
+        place = np.full(len(corpus.terms), -1)
+        place[[t for _, _, t in found]] = np.arange(len(found))
         lists: list[list[tuple[int, float]]] = [[] for _ in self.vocab]
         vectors = []
-        for k, bag in enumerate(bags):
-            vectors.append(self.vector(bag))
+        for k in range(n):
+            vectors.append(self.of_example(corpus, int(pick[k]), place))
             for t, x in zip(*vectors[-1], strict=True):
                 lists[t].append((k, x))
         at = np.cumsum([0, *map(len, lists)])
@@ -89,6 +123,16 @@ class Index:
         self.cut = np.stack([low + np.searchsorted(self.post[low:high], np.arange(self.ranges + 1) * RANGE) for low, high in zip(at, at[1:], strict=False)])
         self._fit(vectors, share)
 
+    def of_example(self, corpus: Corpus, k: int, place: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """``vector`` of an example of the corpus; ``place``: of its terms in the vocabulary."""
+        if place is None:
+            place = np.fromiter((self.vocab.get(t, -1) for t in corpus.terms), np.int64, len(corpus.terms))
+        term, count = corpus.terms_in(k)
+        here = place[term] >= 0
+        total = np.bincount(place[term[here]], count[here], 1).astype(np.int64)
+        there = np.flatnonzero(total)
+        return self._weighed(dict(zip(there.tolist(), total[there].tolist(), strict=True)))
+
     def vector(self, bag: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
         """Terms and unit-length TF-IDF weights of a bag of terms; none if it has no term of the vocabulary."""
         return self._weighed({self.vocab[w]: c for w, c in bag.items() if w in self.vocab})
@@ -181,12 +225,12 @@ class Index:
         return float(1 / (1 + np.exp(-np.dot(self.features(self.label[near], score), self.beta)))), near, score
 
 
-def chosen(rows: list[tuple], bags: list[Counter], share: float) -> float:
+def chosen(corpus: Corpus, share: float) -> float:
     """The least |z| under which each half of the examples foretells the labels of the other best."""
-    label = np.array([r[2] for r in rows])
-    if len(rows) < 4 or not 0 < label.mean() < 1:
+    label = corpus.label
+    if len(label) < 4 or not 0 < label.mean() < 1:
         return LEAST_Z[-1]
-    part = np.zeros(len(rows), np.int64)
+    part = np.zeros(len(label), np.int64)
     for y in (0, 1):  # every second one of each value
         part[label == y] = np.arange((label == y).sum()) % 2
     weigh = np.where(label == 1, share / label.mean(), (1 - share) / (1 - label.mean()))
@@ -194,10 +238,10 @@ def chosen(rows: list[tuple], bags: list[Counter], share: float) -> float:
     for least in LEAST_Z:
         total = 0.0
         for k in (0, 1):
-            fit, rest = np.flatnonzero(part != k).tolist(), np.flatnonzero(part == k).tolist()
-            index = Index([rows[i] for i in fit], share, least, [bags[i] for i in fit])
-            for i in rest:
-                p = np.clip(index.judged(*index.vector(bags[i]))[0], 1e-4, 1 - 1e-4)
+            index = Index([], share, least, corpus, np.flatnonzero(part != k))
+            place = np.fromiter((index.vocab.get(t, -1) for t in corpus.terms), np.int64, len(corpus.terms))
+            for i in np.flatnonzero(part == k).tolist():
+                p = np.clip(index.judged(*index.of_example(corpus, i, place))[0], 1e-4, 1 - 1e-4)
                 total -= weigh[i] * np.log(p if label[i] else 1 - p)
         loss.append(total)
     return LEAST_Z[int(np.argmin(loss))]
