@@ -6,7 +6,7 @@ the last keep the columns of ``documents`` (extra columns pass through).
 1. ``language_id``: texts without a language (no letter, or a score under ``LEAST_SCORE``) go. The model is learnt from
    the stage's own input.
 2. ``near_dedup``: of each group of near duplicates (five-word shingles, similarity 0.8 or more) the document with the
-   least id stays.
+   least id stays. Rows that share an id are one document, whatever their texts: they stay or go together.
 3. ``decontamination``: runs of words that stand in a benchmark item's window of ten words are cut out of the text, and
    a document of which they are more than half goes.
 4. ``mixing``: sources are brought to their target weights; a row is a document's words taken in one turn of its source,
