@@ -860,4 +860,4 @@ def accessible_tasks(spark, sf_dir):
     return registry.accessible(tasks, access, "u", True).groupBy("status").agg(F.count("*").alias("tasks"))
 
 
-from cairnrank.plans import screens  # noqa: E402, F401 - more queries, which use what stands above
+from cairnrank.plans import reviews, screens  # noqa: E402, F401 - more queries, which use what stands above
