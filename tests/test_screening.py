@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from cairnrank.functions import geometry as G
+from cairnrank.functions import placements as P
 from cairnrank.operators import overlay, product, screening, vectors
 from cairnrank.operators.ranking import ranked_by_range
 from pyspark.sql import functions as F
@@ -130,6 +131,47 @@ def test_funnel_against_brute_force(spark, clouds):
     assert {r["stage"] for r in got.values()} >= {3, 7} and got[0]["passed"]
 
 
+def test_funnel_counts_are_those_of_the_funnel(spark, clouds, monkeypatch):
+    """Counts made in the tasks are those of the rows, whatever path a pair takes, in several blocks too."""
+    monkeypatch.setattr(screening, "LIBRARY", 15)
+    rng = np.random.default_rng(8)
+    wide = {100 + g: (rng.normal(0, 1.25, (21, 3)), np.arange(21) % 6 + 1) for g in range(16)}
+    for own, first, least, policy in ((clouds, 0, 0.4, "all"), (wide, 100, 0.6, "all"), (clouds, 0, 0.4, "any")):
+        f = features(spark, own)
+        rows, coarse = overlay.nested(f), screening.summaries(f, f)
+        asked = {g: G.Overlay(own[g][0], own[g][0], own[g][1], None, (0, 1, 2)) for g in (first, first + 1)}
+        anchors = {g: overlay.anchors_of(own[g][0][:3], own[g][1][:3], [1.5, 1.0, 1.0]) for g in asked}
+        queries = screening.CoarseQueries(sorted(coarse.filter(F.col("gid").isin(list(asked))).collect()), screening.CoarseRule((0.5, 1.5), 0.3, 0.9))
+        how = screening.Conditions(asked, queries, anchors, least, policy)
+        want = screening.funnel(rows, coarse, how).groupBy("query_id", "stage").agg(F.count("*"), F.max("score"), F.count_if("passed"), F.sum(F.coalesce(F.size("poses"), F.lit(0)))).collect()
+        want = {tuple(r)[:2]: tuple(r)[2:] for r in want}
+        got = {tuple(r)[:2]: tuple(r)[2:] for r in screening.funnel_counts(screening.library(rows, coarse), how).collect()}
+        assert {k: (v[0], *v[2:]) for k, v in got.items()} == {k: (v[0], *v[2:]) for k, v in want.items()} and any(s == 7 for _, s in got)
+        assert all((got[k][1] is None) == (v[1] is None) and (v[1] is None or got[k][1] == pytest.approx(v[1], abs=1e-12)) for k, v in want.items())
+
+
+def test_placements_against_each_seed():
+    """What many candidates at once settle is what their seeds say one by one, and little is left open."""
+    rng = np.random.default_rng(4)
+    types, points = np.arange(21) % 6 + 1, np.round(rng.normal(0, 1.25, (150, 21, 3)), 4)
+    query = G.Overlay(points[3], points[3], types, [1.5] * 3 + [1.0] * 18, (0, 1, 2))
+    anchors = overlay.anchors_of(points[3, :3], types[:3], [1.5, 1.0, 1.0])
+    assert P.Placer.suits(query, anchors, 0.9, "all") and not P.Placer.suits(query, anchors, 0.9, "any")
+    assert not P.Placer.suits(query, overlay.anchors_of(points[3, :2], [1, 1], [1.0, 1.0]), 0.9, "all")
+    met, passed, high, open_, floor = P.Placer(query, anchors, 0.9).outcomes(P.Prepared.of(points, types, P.HOW))
+    best = np.full(len(points), -1.0)
+    for k, x in enumerate(points):
+        seeds = query.seeds(x, x, types)
+        possible = G.feasible_seeds(anchors[0], anchors[1], x, types, seeds, 0.9)
+        scores = query.scores(seeds, x, x, types)[0][2]
+        assert open_[k] or met[k] == possible.any()
+        if possible.any():
+            best[k] = scores.max()
+            assert open_[k] or passed[k] == possible[scores.argmax()]
+    assert open_.mean() < 0.05 and 0 < passed.sum() < met.sum() < len(met)
+    assert floor <= best.max() and high[best.argmax()] >= floor - P.SINGLE and (high[met] >= floor - P.SINGLE).sum() < 5
+
+
 def test_contenders(clouds):
     q, qt = clouds[0]
     query = G.Overlay(q, q, qt, [1.0] * 6, (0, 1, 2))
